@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import chunks, lookalikes, sentences
+from vellumine.llm import chunks, leaks, lookalikes, pii, sentences
 from vellumine.sources.tables import table
 
 
@@ -51,5 +51,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.alike_pairs(meta.unionByName(units))
 
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_found": p6_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id) of every document that holds at least half of a test item."""
+    return leaks.leak_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, pii, start_char) of every mention of personal information."""
+    return pii.mentions(table(spark, sf_dir, "documents")).select("doc_id", "pii", F.col("a").alias("start_char")).distinct()
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with typed placeholders."""
+    return pii.redact(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "redacted")
+
+
+QUERIES = {"p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_found": p6_found}
 SQL: dict[str, str] = {}
