@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,16 +26,24 @@ def local_session(cores: str = "*", shuffle: int = 8, app: str = "vellumine") ->
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in spark.checkpoint.dir; only where it is unset (tests) a temporary one."""
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir; only where it is unset (tests) a temporary one."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
     named = sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vellumine-ckpt-"))
+    if named:
+        return named
+    set_ = sc._jsc.sc().getCheckpointDir()
+    if not set_.isDefined():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="vellumine-ckpt-"))
+        set_ = sc._jsc.sc().getCheckpointDir()
+    return set_.get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df with a reliable checkpoint (never a local one)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of df: a table written to the shared folder and read again, so a lost executor loses nothing.
+
+    Columnar and compressed, so later readers take only the columns they use and the optimizer knows its size.
+    """
+    path = f"{shared_dir(df.sparkSession)}/vellumine-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
