@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import chunks, leaks, lookalikes, pii, sentences
+from vellumine.llm import chunks, leaks, lookalikes, pii, scans, sentences
 from vellumine.sources.tables import table
 
 
@@ -20,6 +20,16 @@ def text_layer_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.join(scanned_docs(spark, sf_dir), "doc_id", "left_anti")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tab, doc_id, pos, noise) of every case of scanner noise in words and in units of scanned documents."""
+    return scans.ScanNoise(table(spark, sf_dir, "words"), table(spark, sf_dir, "units")).found()
+
+
+def p1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired paragraphs of every scanned document, by page, in reading order."""
+    return scans.ScanNoise(table(spark, sf_dir, "words"), table(spark, sf_dir, "units")).paragraphs()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pos, cut_at) of every unit beyond 1900 characters."""
     over = table(spark, sf_dir, "units").select("doc_id", "pos", "text").where(F.length("text") > chunks.LIMIT)
@@ -66,5 +76,5 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "redacted")
 
 
-QUERIES = {"p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_found": p6_found}
 SQL: dict[str, str] = {}
