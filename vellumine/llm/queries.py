@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import chunks, leaks, lookalikes, pii, scans, sentences
+from vellumine.llm import chunks, leaks, lookalikes, names, packing, pii, scans, sentences
+from vellumine.operators.multivalue import explode_packed
 from vellumine.sources.tables import table
 
 
@@ -30,6 +31,12 @@ def p1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.ScanNoise(table(spark, sf_dir, "words"), table(spark, sf_dir, "units")).paragraphs()
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name_a, name_b) of two spellings of one person or group in meta.authors."""
+    meta = table(spark, sf_dir, "meta").select("doc_id", "run", "authors").where("authors is not null").distinct()
+    return names.spelling_links(explode_packed(meta, "authors", "name", "pos").select("doc_id", "run", "name"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pos, cut_at) of every unit beyond 1900 characters."""
     over = table(spark, sf_dir, "units").select("doc_id", "pos", "text").where(F.length("text") > chunks.LIMIT)
@@ -61,6 +68,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.alike_pairs(meta.unionByName(units))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(container, doc_id, part, size, fill): documents packed into containers of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id) of every document that holds at least half of a test item."""
     return leaks.leak_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
@@ -76,5 +88,5 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "redacted")
 
 
-QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_found": p6_found}
+QUERIES = {"p7_containers": p7_containers, "p2_found": p2_found, "p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_found": p6_found}
 SQL: dict[str, str] = {}
