@@ -25,7 +25,7 @@ from vellumine.session import cut
 
 # Short forms of given names.
 SHORT_FORMS = """
-alexandra alexander alex xander lexi; andrew andreas andy drew; anthony tony; barbara barb babs; benjamin ben benny; bernard bernie; catherine katherine katharina katarina kathryn cathy kathy kate katie kat kay
+alexandra alexander alex xander lexi; andrew andreas andy drew; anthony tony; barbara barb babs; benjamin ben benny; bernard bernie; catherine cathy cath kate katie kat; katarina katharina katherine katharine kathryn kathy kate katie kat kay
 charles charlie chuck; christina christine chris tina chrissy; christopher chris kit; daniel dan danny; david dave davy; deborah debbie deb; donald don donny; dorothy dot dolly; edward ed eddie ted ned
 eleanor elena ellie nell nora leonor; elizabeth beth liz lizzy betty eliza libby; emilio emil; frances francesca fran frankie franny; francis frank frankie; frederick friedrich fred freddy fritz; gabriela gabriele gabi gaby; gabriel gabe
 george georgie; gerald gerry jerry; gregory greg; gustav gus; harold harry hal; henry harry hank; henrietta hetty etta hattie; isabella isabel isa bella izzy; jacob jake; james jim jimmy jamie; jennifer jen jenny; john jack johnny
