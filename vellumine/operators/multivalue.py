@@ -36,22 +36,24 @@ def split_packed(field: Column) -> Column:
     # Brackets of a JSON list, escaped and doubled quotes, footnote marks.
     f = F.regexp_replace(f, r"^\s*\[(.*)\]\s*$", "$1")
     f = F.regexp_replace(f, r'\\"', DOUBLED)
-    f = F.regexp_replace(f, r'(?<=[^\s,;|\[])""(?=[^"])|(?<=[^"\s,;|\[] )""(?=\p{L})|(?<=[\p{L}.])""(?=["\s])', DOUBLED)
     pieces = F.split(f, '"', -1)
     balanced = F.size(pieces) % 2 == 1
     pieces = F.when(balanced, pieces).otherwise(F.array(F.regexp_replace(f, '"', DOUBLED)))
     # A quoted piece that touches no delimiter (a nickname inside a name) is no literal value but belongs to its name.
     flat = F.transform(
         F.sequence(F.lit(0), F.size(pieces) - 1),
-        lambda i: F.struct((i % 2 == 1).alias("lit"), F.get(pieces, i).alias("t"), F.coalesce(F.get(pieces, i - 1), F.lit("")).alias("b"), F.coalesce(F.get(pieces, i + 1), F.lit("")).alias("a")),
+        lambda i: F.struct((i % 2 == 1).alias("lit"), F.get(pieces, i).alias("t"), F.coalesce(F.get(pieces, i - 1), F.lit("")).alias("b"), ((F.get(pieces, i) == "") & (i > 0) & (i < F.size(pieces) - 1)).alias("doubled")),
     )
     inside = lambda x: x["lit"] & x["b"].rlike(r"[\p{L}.]\s*$") & ~x["b"].rlike(r"(?i)\b(and|und|et|y)\s*$")
     mark = lambda x: (
         F.when(inside(x), F.concat(F.lit(DOUBLED), x["t"], F.lit(DOUBLED)))
         .when(x["lit"], F.concat(F.lit(STRONG + "\ue002"), x["t"], F.lit(STRONG)))
+        .when(x["doubled"], F.lit("\ue003"))
         .otherwise(_delimit(x["t"]))
     )
-    joined = F.array_join(F.transform(flat, mark), "")
+    # Nothing between two literals is a doubled quote inside one.
+    joined = F.regexp_replace(F.array_join(F.transform(flat, mark), ""), "\ue001\ue003\ue001\ue002", DOUBLED)
+    joined = F.translate(joined, "\ue003", "")
     strong = F.split(joined, STRONG)
     parts = F.flatten(F.transform(strong, _values_of_piece))
     clean = F.transform(parts, lambda x: _trim(F.regexp_replace(x, DOUBLED, '"')))
