@@ -241,16 +241,16 @@ def mentions(documents: DataFrame) -> DataFrame:
 
 def redact(documents: DataFrame) -> DataFrame:
     """documents with the column redacted: each mention replaced by a placeholder of its type, all else untouched."""
-    spans = mentions(documents).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("a", "b", "pii"))).alias("spans"))
+    spans = mentions(documents).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("a", "b", "pii"))).alias("__pii_spans"))
     # The spans of one document fold into its text from left to right.
     start = F.struct(F.lit("").alias("s"), F.lit(0).alias("at"))
     text = F.col("text")
     fold = F.aggregate(
-        F.coalesce("spans", F.array().cast("array<struct<a:int,b:int,pii:string>>")),
+        F.coalesce("__pii_spans", F.array().cast("array<struct<a:int,b:int,pii:string>>")),
         start,
         lambda acc, x: F.when(x["a"] < acc["at"], acc).otherwise(
             F.struct(F.concat(acc["s"], text.substr(acc["at"] + 1, x["a"] - acc["at"]), F.lit("["), F.upper(x["pii"]), F.lit("]")).alias("s"), x["b"].alias("at"))
         ),
         lambda acc: F.concat(acc["s"], text.substr(acc["at"] + 1, F.length(text))),
     )
-    return documents.join(spans, "doc_id", "left").withColumn("redacted", fold).drop("spans")
+    return documents.join(spans, "doc_id", "left").withColumn("redacted", fold).drop("__pii_spans")
