@@ -55,7 +55,7 @@ _MAYBE_EMAIL = re.compile(r"@|＠|[\[(] ?at ?[\])]| dot ", re.I)
 _FAMILY = r"(?:(?:van|von|de|der|den|di|da|del|la|el|al|bin|ter|ten) ){0,2}(?:Mc|Mac|O['’]|D['’])?[A-ZÀ-Þ](?:[a-zß-ÿ'’]+|[A-ZÀ-Þ]+)(?:-[A-ZÀ-Þ](?:[a-zß-ÿ'’]+|[A-ZÀ-Þ]+))*"
 NAME = re.compile(rf"(?<![\w.@'’-])(?=((?P<g>[A-ZÀ-Þ](?:[a-zß-ÿ]+|[A-ZÀ-Þ]+)(?:-[A-ZÀ-Þ][a-zß-ÿ]+)?) (?:[A-Z]\. ?)*{_FAMILY}|(?P<i>(?:[A-ZÀ-Þ]\.(?: |-)?)+){_FAMILY}))(?P<first>[A-ZÀ-Þ])")
 LOWER = re.compile(rf"(?<![\w.@+'’-])(?P<g>{'|'.join(sorted(SEED_GIVEN, key=lambda w: (-len(w), w)))}) (?:[a-z]\. ?)*[a-zß-ÿ]{{4,}}(?:-[a-zß-ÿ]{{3,}})?(?![\w@])")
-_LOWER_SOON = re.compile(r"(?:^|[\s(,])[a-z]{3,11} (?:[a-z]\. )?[a-z]{6,}")
+_AFTER_SIGN = re.compile(r"[^\w\s.@+'’-][a-z]{3,11} ")
 NUMBER = re.compile(r"\d(?:\d|[ ./()-](?=[\d(])|\) (?=\d)| \((?=\d)){4,}\d")
 _BEFORE = re.compile(r"[^\W\d_]+|\d+")
 
@@ -66,7 +66,7 @@ def left_context(t: str, start: int) -> tuple[str, str]:
     tail = head.rstrip(" \t(\"'«„“[")
     if not tail or tail[-1] == "\n":
         return "^", "^"
-    words = _BEFORE.findall(tail)
+    words = _BEFORE.findall(" ".join(tail.split()[-2:]))
     if not words:
         return "^", "^"
     norm = [w.lower() if not w.isdigit() else "#" for w in words[-2:]]
@@ -148,7 +148,8 @@ def candidates(t: str) -> list[tuple[str, int, int, str, str, str]]:
             out.append(("name", a, b, g.lower(), *left_context(t, a)))
         else:
             out.append(("name", a, b, "<initials>", *left_context(t, a)))
-    if _LOWER_SOON.search(t):
+    # The long alternation runs only where one of its words stands after white space, or any word after a sign.
+    if not SEED_GIVEN.isdisjoint(t.split()) or _AFTER_SIGN.search(t):
         for m in LOWER.finditer(t):
             if free(*m.span()):
                 out.append(("lower", m.start(), m.end(), m.group("g"), *left_context(t, m.start())))
