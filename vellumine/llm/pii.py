@@ -225,8 +225,9 @@ def mentions(documents: DataFrame) -> DataFrame:
     pii = (
         F.when(F.col("kind") == "number", F.coalesce(context, "by_instance"))
         .when(F.col("kind") == "lower", context)
-        .when(F.col("instance").isin("<initials>", "<caps>"), context)
-        .otherwise(F.coalesce("by_instance", context))
+        .when(F.col("instance") == "<initials>", context)
+        .when(F.col("instance") == "<caps>", F.col("by_pair"))
+        .otherwise(F.coalesce("by_instance", "by_pair"))
     )
     picked = joined.withColumn("pii", pii).where("pii is not null").withColumn("strength", F.when(F.col("by_instance").isNotNull(), 1).otherwise(0)).select("doc_id", "pii", "a", "b", "strength")
     # Overlapping name candidates ("Participant Lucia", "Lucia Mirasorud"): one with a trusted given name goes first.
