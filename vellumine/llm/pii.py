@@ -85,7 +85,7 @@ def shape(s: str) -> str:
 
 def _in_caps(t: str, a: int, b: int) -> bool:
     """Whether a span of capitals stands in running text of capitals."""
-    before, after = re.search(r"(\w{2,})\W*$", t[max(0, a - 24) : a]), re.match(r"\W*(\w{2,})", t[b : b + 24])
+    before, after = re.search(r"(\w{3,})\W*$", t[max(0, a - 24) : a]), re.match(r"\W*(\w{3,})", t[b : b + 24])
     return any(x and x.group(1).isalpha() and x.group(1).isupper() for x in (before, after))
 
 
