@@ -29,7 +29,7 @@ def local_session(cores: str = "*", shuffle: int = 8, app: str = "vellumine") ->
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir; only where it is unset (tests) a temporary one."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     set_ = sc._jsc.sc().getCheckpointDir()
