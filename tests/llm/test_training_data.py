@@ -64,6 +64,24 @@ def test_chunks():
     assert a[: len(a) - 3] == b[: len(a) - 3]
 
 
+def test_levels_come_from_the_chunker(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    parts = ["Some words stand here. ", "words, more; ", "word ", "w" * 300, "w" * 1750 + " ", "w" * 1750 + ", ", "W" * 1850 + ". "]
+    texts = ["".join(rng.choice(parts[: rng.randint(1, len(parts))]) * rng.randint(1, 60) for _ in range(rng.randint(3, 30))) for _ in range(60)]
+    texts = [t for t in texts if len(t) > chunks.LIMIT] + ["W" * 1850 + ". " + "V" * 1850 + ".", None, "", "short"]
+    chunked = []
+    split = chunks.split_oversized
+    monkeypatch.setattr(chunks, "split_oversized", lambda text, *a, **k: chunked.append(text) or split(text, *a, **k))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "text"])
+    (got,) = chunks.level_batches(["k"])(iter([batch]))
+    want = {i: chunks.cut_level(t) for i, t in enumerate(texts) if t and len(t) > chunks.LIMIT}
+    assert dict(zip(got["k"].to_pylist(), got["cut_at"].to_pylist())) == want and chunked == [texts[i] for i in want]
+    assert set(want.values()) == set(chunks.LEVELS)
+    assert want[len(texts) - 4] == "sentence"  # the overlap leaves no room for such a sentence, the rule does
+
+
 def test_lookalikes(spark):
     rows = [
         ("t", "a", "Adhesion of nylon suture"), ("t", "b", "Ad⁠hesi­on of nylon suture"), ("t", "c", "Ａｄｈｅｓｉｏｎ оf nylоn suture"), ("t", "d", "adhesion of nylon suture"), ("t", "e", "Adhesion of\nnylon suture"),

@@ -40,7 +40,7 @@ def _longest(text: str, cuts: list[int]) -> int:
 
 def cut_level(text: str, limit: int = LIMIT, levels: list[list[int]] | None = None) -> str:
     """The best kind of boundary at which every stretch of the text keeps within the limit."""
-    for name, cuts in zip(LEVELS, levels or boundaries(text)):
+    for name, cuts in zip(LEVELS, boundaries(text) if levels is None else levels):
         if _longest(text, cuts) <= limit:
             return name
     return "char"
@@ -61,14 +61,14 @@ def _landmark(text: str, lo: int, hi: int) -> int:
     return at
 
 
-def split_oversized(text: str | None, limit: int = LIMIT, least: int = OVERLAP_LEAST, most: int = OVERLAP_MOST) -> list[tuple[int, int, str]]:
+def split_oversized(text: str | None, limit: int = LIMIT, least: int = OVERLAP_LEAST, most: int = OVERLAP_MOST, levels: list[list[int]] | None = None) -> list[tuple[int, int, str]]:
     """(begin, end, cut_at) of the pieces in order; each after the first begins least to most characters before its cut."""
     if text is None:
         return []
     n = len(text)
     if n <= limit:
         return [(0, n, "whole")]
-    levels = boundaries(text)
+    levels = levels or boundaries(text)
     pieces: list[tuple[int, int, str]] = []
     pos = begin = 0
     while n - begin > limit:
@@ -98,15 +98,27 @@ def split_oversized(text: str | None, limit: int = LIMIT, least: int = OVERLAP_L
     return pieces
 
 
+def fallen_level(text: str, limit: int = LIMIT) -> str:
+    """The best kind of boundary that suffices, from the level the chunker had to fall to.
+
+    A piece and its overlap keep within the limit together, so no stretch of the fallen level exceeds it; only the overlap can
+    have made the chunker fall further than the text itself requires. The exact check therefore tries better levels alone.
+    """
+    levels = boundaries(text)
+    fallen = max((LEVELS.index(kind) for _, _, kind in split_oversized(text, limit, levels=levels)[:-1]), default=0)
+    better = cut_level(text, limit, levels[:fallen])
+    return better if better != "char" else LEVELS[fallen]
+
+
 def level_batches(keys: list[str], text_column: str = "text", limit: int = LIMIT):
-    """A mapInArrow function giving (keys..., cut_at) of every text beyond the limit."""
+    """A mapInArrow function giving (keys..., cut_at) of every text beyond the limit, by chunking it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_column).to_pylist()
             over = [i for i, t in enumerate(texts) if t is not None and len(t) > limit]
             idx = pa.array(over, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(k).take(idx) for k in keys] + [pa.array([cut_level(texts[i], limit) for i in over], pa.string())], names=[*keys, "cut_at"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(idx) for k in keys] + [pa.array([fallen_level(texts[i], limit) for i in over], pa.string())], names=[*keys, "cut_at"])
 
     return run
 
