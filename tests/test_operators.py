@@ -106,3 +106,29 @@ def test_packed_rows(spark):
     assert explode_packed(df.limit(0), "authors").count() == 0
     long = spark.createDataFrame([("; ".join(["Ada Name"] * 3000),)], "authors string")
     assert explode_packed(long, "authors").count() == 3000
+
+
+def test_window_packing_against_brute_force(spark, tmp_path):
+    import random
+    import re
+
+    from vellumine.plans import narration
+
+    rng = random.Random(4)
+    pick = ["One short sentence of about forty characters.", "Short first. " + "w" * 700 + ". Short last.", "no end " * 60, "", "Tab\tand\nline.  Two spaces! Then more?", None, "x" * 140 + ". " + "y" * 160]
+    texts = {doc: [rng.choice(pick) for _ in range(n)] for doc, n in (("a", 1), ("b", 70), ("c", 71), ("d", 300))}
+    rows = [(doc, i, "body", t) for doc, ts in texts.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame(rows + rows[:50], "doc_id string, pos int, kind string, text string")
+    more = "null as rects, false as para_end, 0D as pause, 0D as t0, 0D as t1".split(", ")
+    df.selectExpr("*", *more).withColumn("rects", F.lit(None).cast("array<int>")).write.parquet(f"{tmp_path}/units.parquet")
+    want = {}
+    for doc, ts in texts.items():
+        win = size = n = 0
+        for i, t in enumerate(ts):
+            parts = re.split(r"(?<=[.!?])\s+", " ".join((t or "").split()))
+            est = len(parts[0][:150]) + len(parts[-1][:150]) + 60
+            if n and (size + est > 15000 or n >= 70):
+                win, size, n = win + 1, 0, 0
+            want[doc, i] = win
+            size, n = size + est, n + 1
+    assert {(r.doc_id, r.pos): r.win for r in narration.window_packing(spark, str(tmp_path)).collect()} == want

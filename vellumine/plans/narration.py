@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellumine.functions import clean as C
 from vellumine.functions import folds
 from vellumine.operators import narration as N
 from vellumine.sources.tables import table
@@ -149,9 +150,15 @@ def fixed_batches(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def window_packing(spark: SparkSession, d: str) -> DataFrame:
-    """Windows of units under a size and a count, packed in order."""
-    est = F.least(F.length("text"), F.lit(300)) + 60
-    g = units(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", est.alias("est")))).alias("us"))
+    """Windows of units under a size and a count, packed in order (W21); the size of a unit is that of its head and tail, and 60."""
+    return windows_of(units(spark, d))
+
+
+def windows_of(u: DataFrame) -> DataFrame:
+    """(doc_id, pos, win) of units (doc_id, pos, text)."""
+    s = C.head_tail(F.col("text"))
+    est = F.length(s["head"]) + F.length(s["tail"]) + 60
+    g = u.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", est.alias("est")))).alias("us"))
     z = g.select("doc_id", F.explode(F.arrays_zip(F.col("us.pos").alias("pos"), folds.packed_windows(F.col("us.est")).alias("win"))).alias("z"))
     return z.select("doc_id", F.col("z.pos").alias("pos"), F.col("z.win").alias("win"))
 
