@@ -255,6 +255,35 @@ def test_scan_noise(spark):
     assert empty.found().count() == 0 and empty.paragraphs().count() == 0
 
 
+def test_paragraphs_run_over_pages(spark):
+    filler = ["the surface was clean and the resonance of", "the surface was measured with care and the", "resonance held while the surface was measured"]
+    one = ["    The surface of the plate was measured with", *filler, "and the surface was measured, and the reso-"]
+    two = ["nance) of the surface was clean and the surfacc", *filler, "was clean. Then the resonance, and the rcso-", "nance held the pre-", "and post-test (finite-", "element) surface was measured."]
+    three = ["3 Results", *filler, "and the resonance was clean.", "    Another surface was measured with care", *filler]
+    four = ["    The next page begins with an indented line", *filler, "and the surface held."]
+    rng = random.Random(6)
+    rows = []
+    for p, lines in enumerate([one, two, three, four, filler * 3, filler * 3, ["finite-element code", "finite-element code", "finite-element code", "post-test code"]]):
+        for k, line in enumerate(lines):
+            x = 58.0 + (10 if line.startswith("    ") else 0)
+            for w in line.split():
+                rows.append(("d", p, x, 80.0 + 14.5 * k, x + 5 * len(w), 90.0 + 14.5 * k, w))
+                x += 5 * len(w) + 5 + rng.randint(0, 6)  # words one below another would be a second column
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id string, page int, x0 double, y0 double, x1 double, y1 double, text string, pos int")
+    units = spark.createDataFrame([("d", 0, "The rcso- nance held, pre- and post-test; the Surfacc (reso- nance) was clean"), ("d", 1, None), ("d", 2, ""), ("other", 0, "reso- nance")], "doc_id string, pos int, text string")
+    noise = scans.ScanNoise(df, units)
+    got = [(r.page, r.text) for r in noise.paragraphs().orderBy("doc_id", "para").collect()]
+    flow = " ".join(filler)
+    assert got[0] == (0, f"The surface of the plate was measured with {flow} and the surface was measured, and the resonance) of the surface was clean and the surface {flow} was clean. Then the resonance, and the resonance held the pre- and post-test (finite-element) surface was measured.")
+    assert got[1] == (2, f"3 Results {flow} and the resonance was clean.")
+    assert got[2] == (2, f"Another surface was measured with care {flow}")
+    assert got[3][0] == 3 and got[3][1].startswith("The next page begins") and len(got) == 4
+    assert [r.para for r in scans.ScanNoise(df.where("page > 3"), units).paragraphs().collect()] == [0]
+    assert {(r.pos, r.text) for r in noise.repaired_units().collect()} == {(0, "The resonance held, pre- and post-test; the Surface (resonance) was clean")}
+    empty = scans.ScanNoise(df.limit(0), units)
+    assert empty.paragraphs().count() == 0 and empty.repaired_units().count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_runs(name, spark, data):
     df = queries.QUERIES[name](spark, data)

@@ -27,10 +27,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The repaired paragraphs of every scanned document, by page, in reading order."""
+    """The repaired paragraphs of every scanned document, continuous over its pages, in reading order."""
     return scans.ScanNoise(table(spark, sf_dir, "words"), table(spark, sf_dir, "units")).paragraphs()
 
 
+def p1_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired texts of the units of every scanned document."""
+    return scans.ScanNoise(table(spark, sf_dir, "words"), table(spark, sf_dir, "units")).repaired_units()
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name_a, name_b) of two spellings of one person or group in meta.authors."""
     meta = table(spark, sf_dir, "meta").select("doc_id", "run", "authors").where("authors is not null").distinct()
@@ -88,5 +93,5 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "redacted")
 
 
-QUERIES = {"p7_containers": p7_containers, "p2_found": p2_found, "p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_found": p6_found}
+QUERIES = {"p7_containers": p7_containers, "p2_found": p2_found, "p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p1_units": p1_units, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_found": p6_found}
 SQL: dict[str, str] = {}

@@ -32,6 +32,8 @@ HYPHENS = "-‐‑­¬"
 # Words that follow a suspended hyphen ("pre- and post-test").
 CONJUNCTIONS = ["and", "or", "to", "und", "oder", "bis", "et", "ou", "y", "o", "e", "nor", "versus", "vs"]
 _EDGE = r"""^[\s"'“”„«»‘’()\[\]{}.,;:?…/–—]+|[\s"'“”„«»‘’()\[\]{}.,;:?…/–—]+$|!+["'”’»)\]]*$"""
+_OPENING = r"""^[\s"'“”„«»‘’()\[\]{}]+"""
+_CLOSED = r"""[.!?:。！？][\s"'“”»’)\]]*$"""
 _ROMAN = re.compile(r"^[ivxlcdm1]+$", re.I)
 _NUMBER = re.compile(r"^[\[({]?[0-9OoIlSBgbzZq|!]*[0-9][0-9OoIlSBgbzZq|!]*[\])}]?$")
 _DECORATION = re.compile(r"^[–—\-·•|~*]+$")
@@ -201,9 +203,15 @@ def _strip_hyphen(c: Column) -> Column:
     return F.regexp_replace(c, f"[{HYPHENS}]$", "")
 
 
+def cased(right: Column, seen: Column) -> Column:
+    """A word in lower case written as the one seen: as it stands where only its case differs, else by its capitals."""
+    capital = F.concat(F.upper(F.substring(right, 1, 1)), F.substring(right, 2, 1 << 20))
+    return F.when(F.lower(seen) == right, seen).when(seen.rlike(r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$"), F.upper(right)).when(seen.rlike(r"^\p{Lu}"), capital).otherwise(right)
+
+
 def hyphen_pairs(rows: DataFrame, first: str, second: str) -> DataFrame:
     """rows with the parts of a divided word: w1, w2, joined and compound."""
-    w1 = F.lower(F.regexp_replace(_strip_hyphen(F.col(first)), r"""^[\s"'“”„«»‘’()\[\]{}]+""", ""))
+    w1 = F.lower(F.regexp_replace(_strip_hyphen(F.col(first)), _OPENING, ""))
     w2 = core(F.col(second))
     return rows.withColumn("w1", w1).withColumn("w2", w2).withColumn("joined", F.concat("w1", "w2")).withColumn("compound", F.concat("w1", F.lit("-"), "w2"))
 
@@ -308,6 +316,7 @@ class ScanNoise:
         odd1, odd2 = F.col("w1").rlike(r"\p{L}[0159@!8]\p{L}|^[50@198!]\p{Ll}|\p{Ll}[50@19!8]$"), F.col("w2").rlike(r"\p{L}[0159@!8]\p{L}|^[50@198!]\p{Ll}|\p{Ll}[50@19!8]$")
         bad1 = bad & ~right.startswith(F.col("w1")) | F.coalesce(odd1, F.lit(False))
         bad2 = bad & ~right.endswith(F.col("w2")) | F.coalesce(odd2, F.lit(False))
+        ends = ends.withColumn("suspended", ~compound & ~known & F.col("w2").isin(CONJUNCTIONS))
         return ends.withColumn("bad1", F.coalesce(bad1, F.lit(False))).withColumn("bad2", F.coalesce(bad2, F.lit(False))).withColumn("whole", F.coalesce(right, whole))
 
     def found(self) -> DataFrame:
@@ -338,22 +347,80 @@ class ScanNoise:
             whole_ = whole_.unionByName(o)
         return whole_.distinct()
 
+    def _glued(self, rows: DataFrame, ends: DataFrame, keys: list[str], order: Window) -> DataFrame:
+        """rows (text, ...) with glue, what each word gives to its paragraph, and merged: the word gives its second half too.
+
+        ends: judged pairs by keys. A word is set right as a whole at its first half; halves whose signs stand between them, and
+        words divided more than once, are only put together.
+        """
+        plain = F.regexp_replace(_strip_hyphen(F.col("text")), _OPENING, "")
+        after = bare(F.col("next"))
+        hyphen = F.coalesce("r_compound", "compound")
+        made = F.when(F.col("is_break"), F.col("whole")).otherwise(hyphen)
+        seen = F.when(F.col("is_break"), F.concat(plain, after)).otherwise(F.concat(plain, F.lit("-"), after))
+        begins = F.regexp_extract("text", _OPENING, 0)
+        closes = F.substring("next", F.length(after) + 1, F.length("next"))
+        merged = (F.col("w2") != "") & ~F.col("suspended") & F.startswith(F.col("next"), after) & ~ends_divided(F.col("next"))
+        ends = ends.where("next is not null").withColumn("merged", merged)
+        ends = ends.select(*keys, "is_break", "suspended", "w2", "merged", F.when(merged, F.concat(begins, cased(made, seen), closes, F.lit(" "))).alias("made"))
+        one = bare(F.col("text"))
+        # Only first halves meet the pairs; the other words stay where they are.
+        halves = rows.where("first").join(ends.distinct(), keys, "left")
+        rows = rows.where("not first").unionByName(halves, allowMissingColumns=True)
+        rows = rows.withColumn("word", F.lower(one)).join(self.right.select("word", "right"), "word", "left").drop("word")
+        right = F.when(F.col("right").isNull() | F.col("part"), F.col("text")).otherwise(F.replace(F.col("text"), one, cased(F.col("right"), one)))
+        apart = F.col("is_break").isNull() | F.col("suspended") | (F.col("w2") == "")
+        glue = F.when(F.col("merged"), F.col("made")).when(apart, F.concat(right, F.lit(" "))).when(F.col("is_break"), _strip_hyphen(right)).otherwise(right)
+        rows = rows.withColumn("merged", F.coalesce("merged", F.lit(False))).withColumn("taken", F.coalesce(F.lag("merged").over(order), F.lit(False)))
+        return rows.withColumn("glue", F.when(F.col("taken"), F.lit("")).otherwise(glue))
+
     def paragraphs(self) -> DataFrame:
-        """(doc_id, page, para, text): repaired paragraphs in reading order; a paragraph that runs over a page stays with its page.
+        """(doc_id, page, para, text): repaired paragraphs in reading order, numbered by document; page is the one they begin on.
 
-        A paragraph begins at an indented line or after a wider gap. Divided words are joined, misread words corrected.
+        A paragraph begins at an indented line or after a wider gap. The first line of a page goes on with the paragraph of the
+        page before unless it is indented, or a heading behind a finished sentence; the halves of a word divided there always
+        meet. Divided words are joined, misread words, divided ones included, corrected.
         """
-        body = self.layout.where("band = 1")
-        ends = self.judged(self.ends).select("doc_id", "page", "pos", "is_break", F.col("whole").alias("made"), "w1").distinct()
-        fixed = body.withColumn("word", core(F.col("text"))).join(self.right.select("word", "right"), "word", "left").join(ends, ["doc_id", "page", "pos"], "left")
-        lead = F.col("text").rlike(r"^\p{Lu}")
-        right = F.when(F.col("right").isNull(), F.col("text")).otherwise(F.replace(F.col("text"), F.regexp_replace("text", _EDGE, ""), F.when(lead, F.initcap("right")).otherwise(F.col("right"))))
-        glue = F.when(F.col("is_break"), _strip_hyphen(right)).when(F.col("is_break").isNotNull(), F.concat(_strip_hyphen(right), F.lit("-"))).otherwise(F.concat(right, F.lit(" ")))
-        page = Window.partitionBy("doc_id", "page").orderBy("line", "x0", "pos")
-        first = F.coalesce(F.lag("line").over(page) != F.col("line"), F.lit(True))
         margin = F.when(F.col("col") == 1, F.col("m2")).otherwise(F.col("m1"))
-        gap = F.col("y0") - F.lag("y0").over(page) > 24
-        opens = first & ((F.col("x0") > margin + 4) & (F.col("x0") < margin + 40) | gap)
-        para = fixed.withColumn("glue", glue).withColumn("opens", F.when(opens, 1).otherwise(0)).withColumn("para", F.sum("opens").over(page.rowsBetween(Window.unboundedPreceding, 0)))
-        text = F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "x0", "pos", "glue"))), lambda x: x["glue"]), ""))
-        return para.groupBy("doc_id", "page", "para").agg(text.alias("text"))
+        body = self.layout.where("band = 1").withColumn("inner", (F.col("x0") > margin + 4) & (F.col("x0") < margin + 40))
+        body = body.select("doc_id", "page", "line", "x0", "y0", "pos", "text", "first", "part", "inner")
+        page = Window.partitionBy("doc_id", "page").orderBy("line", "x0", "pos")
+        fixed = self._glued(body, self.judged(self.ends), ["doc_id", "page", "pos"], page)
+        begins = F.coalesce(F.lag("line").over(page) != F.col("line"), F.lit(True))
+        gap = F.coalesce(F.col("y0") - F.lag("y0").over(page) > 24, F.lit(False))
+        words = fixed.withColumn("opens", F.when(begins & (F.col("inner") | gap), 1).otherwise(0)).withColumn("upper", F.col("line") == F.first("line").over(page))
+        words = words.withColumn("nth", F.sum("opens").over(page.rowsBetween(Window.unboundedPreceding, 0)))
+        # The paragraphs of every page, then those of the documents from them.
+        ws = words.groupBy("doc_id", "page", "nth").agg(F.sort_array(F.collect_list(F.struct("line", "x0", "pos", "glue", "text", "merged", "upper"))).alias("ws"))
+        last = F.element_at("ws", -1)
+        parts = ws.select(
+            "doc_id", "page", "nth", F.array_join(F.col("ws.glue"), "").alias("text"), F.length(F.element_at("ws", 1)["glue"]).alias("skip"),
+            F.struct("page", last["text"].alias("text"), last["merged"].alias("merged")).alias("last"), F.transform(F.filter("ws", lambda w: w["upper"]), lambda w: w["text"]).alias("upper"),
+        )
+        parts = cut(parts)
+        pages = parts.groupBy("doc_id", "page").agg(F.max("nth").alias("n"), F.min("nth").alias("indented"), F.max_by("last", "nth").alias("last"), F.min_by("upper", "nth").alias("upper"))
+        doc = Window.partitionBy("doc_id").orderBy("page")
+        pages = pages.withColumn("last", F.lag("last").over(doc))
+        begin = F.array_join(F.slice("upper", 1, 2), " ")
+        heading = begin.rlike(r"^\d+(?:\.\d+)*\.? \p{Lu}") | (F.size("upper") <= 4) & begin.rlike(r"^\p{Lu}") & ~F.element_at("upper", -1).rlike(_CLOSED)
+        goes_on = F.col("last").isNotNull() & (ends_divided(F.col("last.text")) | (F.col("indented") == 0) & ~(F.col("last.text").rlike(_CLOSED) & heading))
+        pages = pages.withColumn("joins", F.when(goes_on, 1).otherwise(0)).withColumn("own", F.col("n") - F.col("indented") + 1)
+        base = F.sum(F.col("own") - F.col("joins")).over(doc.rowsBetween(Window.unboundedPreceding, 0)) - F.col("own")
+        half = F.coalesce(F.col("last.merged") & (F.col("last.page") == F.col("page") - 1), F.lit(False))
+        pages = pages.select("doc_id", "page", "indented", base.alias("base"), half.alias("half"))
+        rest = F.when(F.col("half") & (F.col("nth") == F.col("indented")), F.substring("text", F.col("skip") + 1, F.length("text"))).otherwise(F.col("text"))
+        paras = parts.select("doc_id", "page", "nth", "text", "skip").join(pages, ["doc_id", "page"]).select("doc_id", "page", (F.col("base") + F.col("nth") - F.col("indented")).alias("para"), rest.alias("text"))
+        text = F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), ""))
+        return paras.groupBy("doc_id", "para").agg(F.min("page").alias("page"), text.alias("text")).select("doc_id", "page", "para", "text")
+
+    def repaired_units(self) -> DataFrame:
+        """(doc_id, pos, text): the units of scanned documents without furniture, their words joined and corrected; units without text give none."""
+        t = self.unit_text.select("doc_id", "pos", F.split("flat", " ").alias("ts")).select("doc_id", "pos", "ts", F.posexplode("ts").alias("k", "text"))
+        t = t.withColumn("next", F.get("ts", F.col("k") + 1)).withColumn("prev", F.when(F.col("k") > 0, F.get("ts", F.col("k") - 1))).drop("ts")
+        ends = ends_divided(F.col("text")) & F.col("next").isNotNull()
+        t = t.withColumn("part", ends | F.coalesce(ends_divided(F.col("prev")), F.lit(False))).withColumn("first", ends).withColumn("next", F.when(ends, F.col("next"))).drop("prev")
+        pairs = self.judged(hyphen_pairs(t.where("next is not null").select("text", "next").distinct(), "text", "next"))
+        unit = Window.partitionBy("doc_id", "pos").orderBy("k")
+        t = self._glued(t, pairs, ["text", "next"], unit)
+        text = F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "glue"))), lambda x: x["glue"]), ""))
+        return t.groupBy("doc_id", "pos").agg(text.alias("text"))
