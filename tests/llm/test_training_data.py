@@ -127,6 +127,32 @@ def test_leaks_against_brute_force():
     assert index.leaks(None) == [] and index.leaks("") == []
 
 
+@pytest.mark.parametrize("times", [1, 8, 30])
+def test_leaks_among_repeats(times):
+    rng = random.Random(8)
+    w = [f"v{chr(97 + i % 26)}{chr(97 + i // 26)}y" for i in range(100)]
+    items = [(1, " ".join(w)), (2, " ".join(f"u{x}" for x in w))]
+    pad = lambda: rng.choices(["filler", "text", "other"], k=30)
+    repeats = [x for _ in range(times) for x in (*w[:45], *pad())]
+    index = leaks.LeakIndex(items)
+    assert [x[:2] for x in index.leaks(" ".join([*repeats, *w[80:95]]))] == [(1, 0.6)]
+    assert [x[:2] for x in index.leaks(" ".join([*w[80:95], *pad(), *repeats]))] == [(1, 0.6)]
+    assert index.leaks(" ".join(repeats)) == [] and index.leaks(" ".join([*repeats, *w[30:45]])) == []
+
+
+def test_best_pair_against_brute_force():
+    rng = random.Random(9)
+    for _ in range(500):
+        spans = []
+        for _ in range(rng.randint(0, 12)):
+            a, size = rng.randint(0, 40), rng.randint(4, 20)
+            there = rng.randint(0, size)
+            spans.append((a, a + size, rng.randint(1, size), rng.randint(0, there), there))
+        sums = [x[2:] for x in spans] + [tuple(a + b for a, b in zip(x[2:], y[2:])) for x, y in combinations(spans, 2) if x[1] <= y[0] + 2 or y[1] <= x[0] + 2]
+        got = leaks._best_pair(spans)
+        assert (got and got[0]) == max((t[0] for t in sums), default=None) and (got is None or got in sums)
+
+
 def test_leak_rows(spark):
     item = "The ferry mechanic swaps brass bolts for borrowed ones yet the pedozegard whistle still sounds late near the bahumiorsk quay tonight"
     docs = spark.createDataFrame([(1, item.upper(), 0), (1, item.upper(), 0), (2, None, 0), (3, "", 0), (4, "The ferry mechanic swaps brass bolts.", 0)], "doc_id bigint, text string, item_id int")

@@ -181,15 +181,7 @@ class LeakIndex:
             d0, p0, _ = ch[0]
             d1, p1 = ch[-1][0] + ch[-1][2], ch[-1][1] + ch[-1][2]
             spans.append(self._score(ws, iw, d0, p0, d1, p1))
-        spans = sorted((x for x in spans if x[2] and x[3] >= 0.5 * x[4]), key=lambda x: -x[2])[:8]
-        best = None
-        for a, x in enumerate(spans):
-            for y in [None, *spans[a + 1 :]]:
-                if y is not None and not (x[1] <= y[0] + 2 or y[1] <= x[0] + 2):
-                    continue
-                m, r, rn = (x[2], x[3], x[4]) if y is None else (x[2] + y[2], x[3] + y[3], x[4] + y[4])
-                if best is None or m > best[0]:
-                    best = (m, r, rn)
+        best = _best_pair([x for x in spans if x[2] and x[3] >= 0.5 * x[4]])
         return (best[0] / n, best[1] / max(1, best[2])) if best else None
 
     def _score(self, ws: list[str], iw: list[str], d0: int, p0: int, d1: int, p1: int) -> tuple[int, int, int, int, int]:
@@ -213,6 +205,25 @@ class LeakIndex:
                 return d, p
 
 
+def _best_pair(spans: list[tuple[int, int, int, int, int]]) -> tuple[int, int, int] | None:
+    """Words matched, telling words matched and there, of the best one or two stretches that meet in at most two words of the item.
+
+    A stretch is paired with the best of those that end before it begins: sorted by item end, one running maximum holds for
+    all of them, however many stretches there are. Of equal matches the one with more telling words counts.
+    """
+    value = lambda t: (t[0], t[1] / max(1, t[2]))
+    ends = sorted(spans, key=lambda x: x[1])
+    best = first = None
+    k = 0
+    for y in sorted(spans, key=lambda x: x[0]):
+        while k < len(ends) and ends[k][1] <= y[0] + 2:
+            first = max(filter(None, (first, ends[k][2:])), key=value)
+            k += 1
+        pair = y[2:] if first is None else tuple(a + b for a, b in zip(first, y[2:]))
+        best = max(filter(None, (best, y[2:], pair)), key=value)
+    return best
+
+
 def _common(a: list[str], b: list[str]) -> list[bool]:
     """Which words of a are in a longest common subsequence with b."""
     n, m = len(a), len(b)
