@@ -132,3 +132,24 @@ def test_window_packing_against_brute_force(spark, tmp_path):
             want[doc, i] = win
             size, n = size + est, n + 1
     assert {(r.doc_id, r.pos): r.win for r in narration.window_packing(spark, str(tmp_path)).collect()} == want
+
+
+def test_contained_banners_against_brute_force(spark):
+    import random
+
+    from vellumine.plans import text
+
+    rng = random.Random(12)
+    heads = ["Results", "3 RESULTS", "Journal of Tests", "of tests", "ration analysis", "short", "", "Übersicht der Größen", "x" * 45, "y" * 46, "𝑎𝑏𝑐𝑑𝑒𝑓"]
+    bodies = ["journal of tests 12 (1999)", "The integration analysis held.", "Results", "no banner here", "die übersicht der größen steht", "x" * 60, "y" * 60, "see 𝑎𝑏𝑐𝑑𝑒𝑓 there", None, "tiny"]
+    rows = [(f"d{rng.randint(0, 9)}", i, *((("heading", rng.choice(heads)) if rng.random() < 0.5 else ("body", rng.choice(bodies))))) for i in range(60)]
+    rows += [("a", 0, "heading", h) for h in heads] + [("b", 0, "body", x) for x in bodies] + [("c", 0, None, "only Results")]
+    banners = {t.lower() for _, _, k, t in rows if k == "heading" and 6 <= len(t) <= 45}
+    want = {}
+    for b in banners:
+        docs = {d for d, _, k, t in rows if t and b in t.lower() and not (k == "heading" and t.lower() == b)}
+        if docs:
+            want[b] = len(docs)
+    df = spark.createDataFrame(rows, "doc_id string, pos int, kind string, text string").where("text is not null")
+    assert {r.banner: r.docs for r in text.contained(df).collect()} == want
+    assert want["ration analysis"] and want["of tests"] and text.contained(df.limit(0)).count() == 0
