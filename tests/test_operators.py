@@ -153,3 +153,18 @@ def test_contained_banners_against_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id string, pos int, kind string, text string").where("text is not null")
     assert {r.banner: r.docs for r in text.contained(df).collect()} == want
     assert want["ration analysis"] and want["of tests"] and text.contained(df.limit(0)).count() == 0
+
+
+def test_hard_texts_are_not_left_out(spark, tmp_path):
+    from vellumine.functions import spoken
+    from vellumine.plans import text
+
+    texts = ["FEA of NiTi", "an ROI in vitro, HMMs", "Poissons and Poisson", "a ‹b› c", "a < b > c & d &lt; e", "<ref>kept</ref> &amp;", "plain"]
+    df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, section string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    said = {r.doc_id: r.said for r in text.respell_terms(spark, str(tmp_path)).collect()}
+    assert said == {i: spoken._TERM.sub(lambda m: spoken.RESPELLED[m.group()], t + " FEA of NiTi in Abaqus") for i, t in enumerate(texts)}
+    assert {r.doc_id: r.body for r in text.markup_text_extract(spark, str(tmp_path)).collect()} == dict(enumerate(texts))
+    from vellumine.plans import sources
+
+    assert {r.doc_id: r.text for r in sources.tei_like_units(spark, str(tmp_path)).where("kind = 'body'").collect()} == dict(enumerate(texts))

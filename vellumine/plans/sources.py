@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vellumine.operators import extract as X
 from vellumine.operators import layout as L
 from vellumine.operators import library as B
+from vellumine.plans.text import escaped, unescaped
 from vellumine.session import shared_dir
 from vellumine.sources import files as S
 from vellumine.sources.tables import table
@@ -47,9 +48,9 @@ def manifest_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 @query("with docs as (select doc_id, trim(regexp_replace(text, '[\\s\\p{Z}\\x0b\\x1c-\\x1f\\x85]+', ' ', 'g'), ' ') as t, section from documents where text is not null and not regexp_matches(text, '[<>]')) select doc_id, 0 as pos, 'heading' as kind, coalesce(section, 'Text') as text from docs union all select doc_id, 1, 'body', t from docs")
 def tei_like_units(spark: SparkSession, d: str) -> DataFrame:
     """Units read from markup (S07): each document is written as TEI with a reference and a note in it."""
-    docs = table(spark, d, "documents").where("text is not null").where(~F.col("text").rlike("[<>]"))
-    tei = F.concat(F.lit("<div><head n='1'>"), F.coalesce("section", F.lit("Text")), F.lit("</head><p>"), "text", F.lit('<ref type="bibr">[3]</ref></p><note>page furniture</note></div>'))
-    return S.tei_units(docs.select("doc_id", tei.alias("tei")))
+    docs = table(spark, d, "documents").where("text is not null")
+    tei = F.concat(F.lit("<div><head n='1'>"), escaped(F.coalesce("section", F.lit("Text"))), F.lit("</head><p>"), escaped(F.col("text")), F.lit('<ref type="bibr">[3]</ref></p><note>page furniture</note></div>'))
+    return S.tei_units(docs.select("doc_id", tei.alias("tei"))).withColumn("text", unescaped(F.col("text")))
 
 
 @query("select event_type, count(*) as n, round(sum(value), 2) as total from events where event_id % 10 <> 3 group by event_type")
