@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", shuffle: int = 8, app: str = "vellumine") -> SparkSession:
@@ -27,23 +28,58 @@ def local_session(cores: str = "*", shuffle: int = 8, app: str = "vellumine") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; only where it is unset (tests) a temporary one."""
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Where it is unset a local session (tests) sets a folder of its own; on a cluster that is an error, for a folder of one
+    machine would be read short by the others.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     set_ = sc._jsc.sc().getCheckpointDir()
     if not set_.isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="vellumine-ckpt-"))
         set_ = sc._jsc.sc().getCheckpointDir()
     return set_.get()
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of df: a table written to the shared folder and read again, so a lost executor loses nothing.
 
-    Columnar and compressed, so later readers take only the columns they use and the optimizer knows its size.
+    Columnar and compressed, so later readers take only the columns they use and the optimizer knows its size. The table
+    stays until drop_cuts().
     """
-    path = f"{shared_dir(df.sparkSession)}/vellumine-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/vellumine-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_cuts() -> int:
+    """Delete every table cut() has written in this process, once the results that read them are stored; their number."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        if spark.sparkContext._jsc is not None:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return n
+
+
+def small(table: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """A table made by cut(), to be broadcast if its files hold no more than ``most`` bytes, else left to the optimizer."""
+    spark = table.sparkSession
+    size = 0
+    for f in table.inputFiles():
+        p = spark._jvm.org.apache.hadoop.fs.Path(f)
+        size += p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+        if size > most:
+            return table
+    return F.broadcast(table)
