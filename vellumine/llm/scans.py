@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumine.session import cut
+from vellumine.session import cut, small
 
 # What is printed, what is read instead.
 CONFUSIONS = [
@@ -395,12 +395,13 @@ class ScanNoise:
         seams = by.select("doc_id", "top", known.alias("before"), "furn", foot.alias("foot")).where("top is not null and before is not null and size(furn) + size(foot) > 0")
         opening = F.array_compact(F.array(*[F.get(of(c, label), F.lit(0)) for c in ("furn", "foot") for label in ("header", "pageno")]))
         both = F.concat("furn", "foot")
-        seams = cut(seams.select("doc_id", "top", "before", of(both, "header").alias("heads"), of(both, "pageno").alias("numbers"), F.explode(F.array_distinct(opening)).alias("first")).distinct())
+        seams = seams.select("doc_id", "top", "before", of(both, "header").alias("heads"), of(both, "pageno").alias("numbers"), F.explode(F.array_distinct(opening)).alias("first")).distinct()
         heads = by.select("doc_id", of(F.col("furn"), "header").alias("heads")).where(F.size("heads") >= LONG_LINE).distinct()
-        heads = cut(heads.select("doc_id", F.lit(None).cast("string").alias("top"), F.get("heads", F.lit(0)).alias("before"), "heads", F.array().cast("array<string>").alias("numbers"), F.get("heads", F.lit(1)).alias("first")))
+        heads = heads.select("doc_id", F.lit(None).cast("string").alias("top"), F.get("heads", F.lit(0)).alias("before"), "heads", F.array().cast("array<string>").alias("numbers"), F.get("heads", F.lit(1)).alias("first"))
         printed = by.select("doc_id", F.array_join(of(F.col("furn"), "pageno"), " ").alias("number")).where("number <> ''").distinct()
         t = self.flat.select("doc_id", "pos", F.posexplode("ts").alias("k", "before"), "ts").select("doc_id", "pos", "k", "before", F.get("ts", F.col("k") + 1).alias("first")).where("first is not null")
-        hits = t.join(seams.unionByName(heads), ["doc_id", "before", "first"]).join(self.flat, ["doc_id", "pos"])
+        hits = t.join(small(cut(seams.unionByName(heads))), ["doc_id", "before", "first"])
+        hits = cut(hits).join(self.flat, ["doc_id", "pos"])
         lines = hits.where(F.col("top").isNull() & (F.slice("ts", F.col("k") + 1, F.size("heads")) == F.col("heads")))
         behind = F.transform(F.sequence(F.lit(1), F.lit(LONG_LINE)), lambda n: F.array_join(F.slice("ts", F.col("k") + F.size("heads") + 1, n), " "))
         lines = lines.select("doc_id", "pos", "k", F.size("heads").alias("g"), F.explode(F.array_distinct(F.concat(F.array(F.lit("")), behind))).alias("number"))
@@ -456,7 +457,7 @@ class ScanNoise:
         numbers = number_corrections(forms)
         bad = words.withColumn("number", F.lit(False)).unionByName(numbers.withColumn("number", F.lit(True))).groupBy("tok").agg(F.max_by("right", F.struct("number", "right")).alias("right"))
         # By the token as it stands, so that no other token is looked at.
-        self.bad = cut(self.raw.join(bad, "tok").select("text", F.replace(F.col("text"), F.col("tok"), F.col("right")).alias("right")))
+        self.bad = small(cut(self.raw.join(bad, "tok").select("text", F.replace(F.col("text"), F.col("tok"), F.col("right")).alias("right"))))
         self.pairs = cut(self._judged(pairs))
 
     def _judged(self, pairs: DataFrame) -> DataFrame:
