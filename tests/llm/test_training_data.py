@@ -38,6 +38,14 @@ def test_sentences(text, want):
     assert cuts(text) == want
 
 
+@pytest.mark.parametrize("n", [3, 20, 60, 600])
+def test_long_quotations_are_one_sentence(n):
+    quoted = " ".join(["It moved again. We fixed it."] * n)
+    assert len(cuts(f'He wrote, "{quoted}" and stopped. Then he left.')) == 2
+    assert len(cuts(f"{'x' * n} " * 9 + f"Dr. Adam saw {'y' * 90}.Participants {'z' * 90}. End.")) == 3
+    assert len(cuts(f'One " only. Two.\n\n"{quoted}" he said. Three.')) == 4
+
+
 def test_sentences_cover_everything():
     assert sentences.sentences(None) == [] and sentences.sentences("") == []
     rng = random.Random(3)
@@ -173,6 +181,43 @@ def test_names():
         assert names.one_edit(a, b) == (brute_edit(a, b) <= 1)
 
 
+def test_assignment_against_brute_force():
+    from itertools import permutations
+
+    rng = random.Random(13)
+    for _ in range(200):
+        n, m = rng.randint(1, 4), rng.randint(4, 6)
+        costs = [[rng.choice([0, 1, 2, 3, 1000]) for _ in range(m)] for _ in range(n)]
+        assert names.assignment(costs) == min(sum(costs[i][k] for i, k in enumerate(order)) for order in permutations(range(m), n))
+    words = ["anna", "clara", "a", "c", "an", "beth", "elizabeth", "w", "walter", "wa", "clarra"]
+
+    def brute(a, b):
+        a, b = sorted((a, b), key=len)
+        best = 99
+        for order in permutations(range(len(b)), len(a)):
+            costs = [names._token_cost(x, b[k]) for x, k in zip(a, order)]
+            if None not in costs:
+                best = min(best, sum(costs) + 2 * sum(x > y for x, y in zip(order, order[1:])) + 4 * (order[0] != 0))
+        return best < 4
+
+    for _ in range(600):
+        a, b = rng.choices(words, k=rng.randint(1, 4)), rng.choices(words, k=rng.randint(1, 6))
+        assert names.aligned(a, b) == brute(a, b), (a, b)
+        if names.aligned(a, b):
+            assert set(names.first_keys(" ".join(a))[1]) & set(names.first_keys(" ".join(b))[0])
+    long = [chr(97 + i) * 6 for i in range(24)]
+    assert names.aligned(["anna", "clara"], ["anna", "eva", "marie", "clara", "ruth", "ida"]) and names.aligned(long, long[:3] + long[5:]) and not names.aligned(long, long[1:])
+    assert names.aligned(["a"] * 9, ["a"] * 14) and not names.aligned(["a"] * 9 + ["x"], ["a"] * 14)
+
+
+def test_short_names_and_chains(spark):
+    rows = [("d1", 1, "Anna Chen"), ("d1", 2, "Anna Cehn"), ("d2", 1, "Bea Chen"), ("d3", 1, "Carl Smith"), ("d3", 2, "Carl Smth"), ("d4", 1, "Dora Kim"), ("d4", 1, "Dora Kin")]
+    rows += [(f"e{i}", 1, n) for n, k in (("Max Radufeld", 9), ("Max Radufelt", 4), ("Max Radufelts", 2), ("Max Radufeltss", 1)) for i in range(k)]
+    got = {(r.name_a, r.name_b) for r in names.spelling_links(spark.createDataFrame(rows, "doc_id string, run int, name string")).collect()}
+    chain = sorted(["Max Radufeld", "Max Radufelt", "Max Radufelts", "Max Radufeltss"])
+    assert got == {("Anna Cehn", "Anna Chen"), ("Carl Smith", "Carl Smth")} | set(combinations(chain, 2))
+
+
 def brute_edit(a, b):
     d = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
     for i in range(1, len(a) + 1):

@@ -1,8 +1,10 @@
 """Variant spellings of names typed by people, linked.
 
 A spelling is parsed into a family name (or the head of a group's name) and given tokens. A symmetric-delete neighbourhood
-index finds family names one edit apart; counts, given names and shared papers settle which rare spelling belongs to which
-frequent one. Given tokens are aligned by optimal assignment, permitting initials, short forms, abbreviations and one typo.
+index finds family names of any length one edit apart; counts, given names and shared papers settle which rare spelling
+belongs to which frequent one, through chains of any length. Given tokens are aligned by optimal assignment (Hungarian method),
+permitting initials, short forms, abbreviations and one typo. Signatures of a family meet by keys of their first tokens, so a
+common family name is never compared with itself as a whole.
 
 Cases: null and empty names link nothing; equal spellings are one; a name of one token links only to spellings of that
 token alone; an empty table gives no link. Groups of spellings are joined through their few signatures, so equal signatures
@@ -14,12 +16,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import permutations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from vellumine.session import cut
 
@@ -140,21 +140,104 @@ def _token_cost(a: str, b: str) -> int | None:
     return None
 
 
-def aligned(a: list[str], b: list[str]) -> bool:
-    """Whether two lists of given tokens can be one person's: the best assignment leaves no token of the shorter list over."""
+def assignment(costs: list[list[float]]) -> float:
+    """Least total cost of giving every row a column of its own (Hungarian method); rows are no more than columns."""
+    n, m = len(costs), len(costs[0])
+    u, v, match, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        match[0] = i
+        j0 = 0
+        least, used = [float("inf")] * (m + 1), [False] * (m + 1)
+        while True:
+            used[j0] = True
+            i0, delta, j1 = match[j0], float("inf"), 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    c = costs[i0 - 1][j - 1] - u[i0] - v[j]
+                    if c < least[j]:
+                        least[j], way[j] = c, j0
+                    if least[j] < delta:
+                        delta, j1 = least[j], j
+            for j in range(m + 1):
+                if used[j]:
+                    u[match[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            j0 = j1
+            if not match[j0]:
+                break
+        while j0:
+            match[j0] = match[way[j0]]
+            j0 = way[j0]
+    return -v[0]
+
+
+_NEVER = 1000.0
+
+
+def aligned(a: list[str], b: list[str], most: float = 4) -> bool:
+    """Whether two lists of given tokens can be one person's: the best assignment leaves no token of the shorter list over.
+
+    First tokens belong together, and a token that stands before its neighbour costs 2. The Hungarian method gives the least
+    cost of all assignments; only where that is low enough are the places looked at, from the cheapest on. Any length goes.
+    """
     if not a or not b:
         return not a and not b
     if len(a) > len(b):
         a, b = b, a
-    if len(b) > 5:
-        return a == b[: len(a)]
-    best = None
-    for order in permutations(range(len(b)), len(a)):
-        costs = [_token_cost(x, b[k]) for x, k in zip(a, order)]
-        if None not in costs:
-            c = sum(costs) + sum(x > y for x, y in zip(order, order[1:])) * 2 + (order[0] != 0) * 4
-            best = c if best is None else min(best, c)
-    return best is not None and best < 4
+    costs = [[_NEVER if (c := _token_cost(x, y)) is None else float(c) for y in b] for x in a]
+    if costs[0][0] >= most or assignment(costs) >= most:
+        return False
+    seen: set[tuple[int, int, frozenset[int], float]] = set()
+
+    def place(i: int, last: int, taken: frozenset[int], spent: float) -> bool:
+        if i == len(a):
+            return True
+        if (i, last, taken, spent) in seen:
+            return False
+        seen.add((i, last, taken, spent))
+        for k in sorted((k for k in range(len(b)) if k not in taken), key=lambda k: (k < last, costs[i][k], k)):
+            c = spent + costs[i][k] + 2 * (k < last)
+            if c < most and place(i + 1, k, taken | {k}, c):
+                return True
+        return False
+
+    return place(1, 0, frozenset([0]), costs[0][0])
+
+
+def _edit_keys(w: str) -> set[str]:
+    """A word and the words with one character less."""
+    return {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
+
+
+def first_keys(given: str) -> tuple[list[str], list[str]]:
+    """Keys under which a signature is laid down and under which it asks: two whose first tokens can agree share one.
+
+    An initial asks all signatures of its family and initial; there are few different signatures of initials.
+    """
+    w = given.split(" ")[0]
+    if len(w) < 2:
+        return ["*", "i"], ["*"]
+    keys = {"=" + w, "p" + w[:3], *("f%d" % k for k in _FORMS.get(w, ()))}
+    if len(w) >= 4:
+        keys |= {"d" + x for x in _edit_keys(w)}
+    if w in _FORMS:
+        keys |= {"d" + x for z, ks in _FORMS.items() if ks & _FORMS[w] and len(z) >= 5 for x in _edit_keys(z)}
+    return ["*", *sorted(keys)], ["i", *sorted(keys)]
+
+
+def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    strings = pa.list_(pa.string())
+    for batch in batches:
+        keys = [first_keys(g or "") for g in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k[0] for k in keys], strings), pa.array([k[1] for k in keys], strings)], names=["given", "laid", "asks"])
+
+
+def _aligned_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ok = [aligned((p or "").split(), (q or "").split()) for p, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield batch.filter(pa.array(ok, pa.bool_()))
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,11 +272,11 @@ def spelling_links(values: DataFrame) -> DataFrame:
     """
     seen = values.where("name is not null and trim(name) <> ''").select("doc_id", "run", "name")
     counts = cut(seen.groupBy("name").agg(F.count("*").alias("n")))
-    parsed = counts.select("name").mapInArrow(_parse_batches, "name string, family string, given string, suffix string").join(counts, "name")
+    parsed = cut(counts.select("name").mapInArrow(_parse_batches, "name string, family string, given string, suffix string")).join(counts, "name")
     # Given names: a rare one is taken for the usual one an edit apart.
     first = F.split("given", " ")[0]
     given = parsed.where(F.length(first) >= 2).groupBy(first.alias("w")).agg(F.sum("n").alias("n"))
-    usual = usual_forms(given, 8.0, 3)
+    usual = usual_forms(given, 8.0, 2)
     parsed = parsed.withColumn("w", first).join(usual, "w", "left")
     rest = F.regexp_replace("given", r"^\S+", "")
     parsed = cut(parsed.withColumn("given", F.when(F.col("usual").isNull(), F.col("given")).otherwise(F.concat("usual", rest))).select("name", "n", "family", "given", "suffix", F.substring("given", 1, 1).alias("ini")))
@@ -201,7 +284,7 @@ def spelling_links(values: DataFrame) -> DataFrame:
     fn = F.split("given", " ")[0]
     nodes = parsed.groupBy("family", "ini").agg(F.sum("n").alias("n"), F.collect_set(F.when(F.length(fn) > 1, fn)).alias("firsts"))
     nodes = cut(nodes)
-    keyed = nodes.where(F.length("family") >= 5).select("family", "ini", "n", "firsts", F.explode(deletes(F.col("family"))).alias("k"))
+    keyed = nodes.where("family <> ''").select("family", "ini", "n", "firsts", F.explode(deletes(F.col("family"))).alias("k"))
     a, b = keyed, keyed.select(F.col("family").alias("to"), "ini", F.col("n").alias("m"), F.col("firsts").alias("to_firsts"), "k")
     more = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("to") < F.col("family")))
     near = a.join(b, ["k", "ini"]).where((F.col("family") != F.col("to")) & more).where(_near(F.col("family"), F.col("to"))).drop("k").distinct()
@@ -213,20 +296,32 @@ def spelling_links(values: DataFrame) -> DataFrame:
     near = near.join(shared, ["family", "ini", "to"], "left").fillna(0, ["apart", "beside"])
     same_first = F.arrays_overlap("firsts", "to_firsts")
     open_first = (F.size("firsts") == 0) | (F.size("to_firsts") == 0)
+    # Short names are often an edit apart by chance: counts alone say nothing of them.
+    open_first = open_first & (F.length("family") >= 5)
     sure = (F.col("beside") == 0) & ((F.col("apart") > 0) | same_first | (open_first & (F.col("m") >= 3 * F.col("n"))))
     best = near.where(sure).withColumn("score", F.struct((F.col("apart") > 0).cast("int"), same_first.cast("int"), "m", "to"))
     root = best.groupBy("family", "ini").agg(F.max_by("to", "score").alias("root"))
     root = cut(root)
-    up = root.select(F.col("family").alias("root"), "ini", F.col("root").alias("higher"))
-    root = root.join(up, ["root", "ini"], "left").select("family", "ini", F.coalesce("higher", "root").alias("root"))
+    # A root may be rare itself: roots are followed until none moves; counts rise along them, so there is no circle.
+    while True:
+        up = root.select(F.col("family").alias("root"), "ini", F.col("root").alias("higher"))
+        root = cut(root.join(up, ["root", "ini"], "left").select("family", "ini", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")))
+        if root.where("moved").isEmpty():
+            break
+        root = root.drop("moved")
+    root = root.drop("moved")
     whole = cut(parsed.join(root, ["family", "ini"], "left").select("name", F.coalesce("root", "family").alias("family"), "ini", F.concat_ws("|", "given", "suffix").alias("sig"), "given", "suffix"))
-    # Signatures of a family and initial are compared; spellings come through them.
-    sigs = whole.groupBy("family", "ini", "sig", "given", "suffix").agg(F.count("*").alias("spellings"))
-    x = sigs.select("family", "ini", F.col("sig").alias("sa"), F.col("given").alias("ga"), F.col("suffix").alias("ja"))
-    y = sigs.select("family", "ini", F.col("sig").alias("sb"), F.col("given").alias("gb"), F.col("suffix").alias("jb"))
-    ok = F.udf(lambda p, q: aligned((p or "").split(), (q or "").split()), BooleanType())
-    pairs = x.join(y, ["family", "ini"]).where("sa <= sb").where((F.col("ja") == F.col("jb")) | (F.col("ja") == "") | (F.col("jb") == ""))
-    pairs = pairs.where((F.col("sa") == F.col("sb")) | ok("ga", "gb")).select("family", "ini", "sa", "sb")
+    # Signatures of a family and initial that share a key of their first tokens are compared; spellings come through them.
+    sigs = whole.groupBy("family", "ini", "sig", "given", "suffix").agg(F.count("*").alias("spellings")).drop("spellings")
+    keys = sigs.select("given").distinct().mapInArrow(_key_batches, "given string, laid array<string>, asks array<string>")
+    sigs = cut(sigs.join(keys, "given"))
+    x = sigs.select("family", "ini", F.col("sig").alias("sa"), F.col("given").alias("ga"), F.col("suffix").alias("ja"), F.explode("asks").alias("key"))
+    y = sigs.select("family", "ini", F.col("sig").alias("sb"), F.col("given").alias("gb"), F.col("suffix").alias("jb"), F.explode("laid").alias("key"))
+    near = x.join(y, ["family", "ini", "key"]).where("sa <> sb").where((F.col("ja") == F.col("jb")) | (F.col("ja") == "") | (F.col("jb") == ""))
+    near = near.select("family", "ini", F.least("sa", "sb").alias("sa"), F.greatest("sa", "sb").alias("sb"), F.when(F.col("sa") < F.col("sb"), F.col("ga")).otherwise(F.col("gb")).alias("ga"), F.when(F.col("sa") < F.col("sb"), F.col("gb")).otherwise(F.col("ga")).alias("gb"))
+    near = cut(near.distinct())
+    good = near.select("ga", "gb").distinct().mapInArrow(_aligned_batches, "ga string, gb string")
+    pairs = near.join(good, ["ga", "gb"]).select("family", "ini", "sa", "sb").unionByName(sigs.select("family", "ini", F.col("sig").alias("sa"), F.col("sig").alias("sb")))
     na = whole.select("family", "ini", F.col("sig").alias("sa"), F.col("name").alias("n1"))
     nb = whole.select("family", "ini", F.col("sig").alias("sb"), F.col("name").alias("n2"))
     full = pairs.join(na, ["family", "ini", "sa"]).join(nb, ["family", "ini", "sb"]).where("n1 <> n2 and (sa <> sb or n1 < n2)")

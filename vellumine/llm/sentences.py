@@ -44,7 +44,7 @@ INVISIBLE = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\ufeff\
 
 _TOKEN = re.compile(r'[.!?…。！？｡．؟۔।॥։።]+|["“”„«»‹›「」『』｢｣《》〈〉(){}\[\]（）［］【】〔〕]|\n\s*\n\s*|(?<=[฀-๿])\s+(?=[฀-๿])')
 _HIDDEN = re.compile(f"[{INVISIBLE}！-～]")
-_WORD_BEFORE = re.compile(r"[^\s()\[\]{}\"“”„«»‹›,;:!?…。]+$")
+_NO_WORD = set("()[]{}\"“”„«»‹›,;:!?…。")
 _NEXT_WORD = re.compile(r"[\s\"“„«‹(\[¿¡]*([^\W\d_]+)")
 _CLOSING = set("\"”“’»›)]}」』｣》〉）］】〕'")
 
@@ -86,6 +86,24 @@ def _visible(text: str) -> tuple[str, list[int] | None]:
     return "".join(out), at
 
 
+_STRAIGHT = re.compile(r'"|\n\s*\n')
+
+
+def _pairs(t: str) -> dict[int, int]:
+    """Straight quotation marks that open, and where they close: by parity in their paragraph; an odd last one pairs with none."""
+    pairs: dict[int, int] = {}
+    opened = -1
+    for m in _STRAIGHT.finditer(t):
+        if m.group() != '"':
+            opened = -1
+        elif opened < 0:
+            opened = m.start()
+        else:
+            pairs[opened] = m.start()
+            opened = -1
+    return pairs
+
+
 def sentence_starts(text: str | None) -> list[int]:
     """Offsets of the first characters of the second and later sentences of a text."""
     if not text:
@@ -96,6 +114,7 @@ def sentence_starts(text: str | None) -> list[int]:
     n = len(t)
     stack: list[tuple[str, int, bool]] = []  # closing signs, where it opened, whether it opened a sentence
     start = 0  # of the open sentence
+    straight = _pairs(t) if '"' in t else {}
     thai = "฀" <= max(t) and any("฀" <= c <= "๿" for c in t)
 
     def cut(k: int) -> None:
@@ -168,8 +187,8 @@ def sentence_starts(text: str | None) -> list[int]:
             if c not in OPEN and c != '"':
                 continue
             close = OPEN.get(c, '"')
-            nxt = min((x for x in (t.find(q, b) for q in close) if x >= 0), default=-1)
-            if nxt < 0 or (c == '"' and nxt - a > 600) or "\n\n" in t[a:nxt]:
+            nxt = straight.get(a, -1) if c == '"' else min((x for x in (t.find(q, b) for q in close) if x >= 0), default=-1)
+            if nxt < 0 or "\n\n" in t[a:nxt]:
                 continue
             if c in "([{" and a > start and t[a - 1].isalnum() and nxt - a < 4:
                 stack.append((close, a, False))
@@ -196,6 +215,22 @@ def sentence_starts(text: str | None) -> list[int]:
     return cuts if at is None else [at[k] for k in cuts]
 
 
+def _word_before(t: str, end: int) -> str:
+    """The word that ends at an offset, however long."""
+    i = end
+    while i and not t[i - 1].isspace() and t[i - 1] not in _NO_WORD:
+        i -= 1
+    return t[i:end]
+
+
+def _run_before(t: str, end: int) -> str:
+    """What stands without white space before an offset."""
+    i = end
+    while i and not t[i - 1].isspace():
+        i -= 1
+    return t[i:end]
+
+
 def _ends_sentence(t: str, low: str, a: int, k: int, s: str, start: int, starts_sentence) -> bool:  # noqa: ANN001
     n = len(t)
     if k >= n:
@@ -215,23 +250,24 @@ def _ends_sentence(t: str, low: str, a: int, k: int, s: str, start: int, starts_
     if not gap:
         # A missing space: "... to wear.Participants ..."
         if t[k].isupper() and k == a + 1 and before.islower() and k + 1 < n and (t[k + 1].islower() or t[k + 1].isspace()):
-            w = _WORD_BEFORE.search(t, max(0, a - 40), a)
-            return bool(w) and len(w.group()) > 2 and w.group().isalpha() and not _in_trie(_NEVER, low, a) and "://" not in t[max(0, a - 80) : a].rpartition(" ")[2]
+            w = _word_before(t, a)
+            return len(w) > 2 and w.isalpha() and not _in_trie(_NEVER, low, a) and "://" not in _run_before(t, a)
         return False
     if not starts_sentence(k, "."):
         return False
     if t[a + 1 : k].strip():  # closers stand between: the stop is the sentence's own
         return True
-    w = _WORD_BEFORE.search(t, max(0, a - 40), a)
-    word = w.group() if w else ""
+    word = _word_before(t, a)
     nm = _NEXT_WORD.match(t, k)
     following = nm.group(1) if nm else ""
     if word and word.isdigit():
         if not t[start : a - len(word)].strip():  # list mark
             return False
         if len(word) <= 2 and following[:1].isupper():
-            prev = t[max(0, a - len(word) - 20) : a - len(word)].split()
-            if prev and prev[-1].lower() in ORDINAL_BEFORE and prev[-1].isalpha():
+            j = a - len(word)
+            while j and t[j - 1].isspace():
+                j -= 1
+            if _run_before(t, j).lower() in ORDINAL_BEFORE:
                 return False
         return True
     if _in_trie(_MAY, low, a):
