@@ -212,7 +212,7 @@ def test_assignment_against_brute_force():
 
 def test_short_names_and_chains(spark):
     rows = [("d1", 1, "Anna Chen"), ("d1", 2, "Anna Cehn"), ("d2", 1, "Bea Chen"), ("d3", 1, "Carl Smith"), ("d3", 2, "Carl Smth"), ("d4", 1, "Dora Kim"), ("d4", 1, "Dora Kin")]
-    rows += [(f"e{i}", 1, n) for n, k in (("Max Radufeld", 9), ("Max Radufelt", 4), ("Max Radufelts", 2), ("Max Radufeltss", 1)) for i in range(k)]
+    rows += [(f"{n} {i}", 1, n) for n, k in (("Max Radufeld", 9), ("Max Radufelt", 4), ("Max Radufelts", 2), ("Max Radufeltss", 1)) for i in range(k)]
     got = {(r.name_a, r.name_b) for r in names.spelling_links(spark.createDataFrame(rows, "doc_id string, run int, name string")).collect()}
     chain = sorted(["Max Radufeld", "Max Radufelt", "Max Radufelts", "Max Radufeltss"])
     assert got == {("Anna Cehn", "Anna Chen"), ("Carl Smith", "Carl Smth")} | set(combinations(chain, 2))
