@@ -161,6 +161,49 @@ def test_best_pair_against_brute_force():
         assert (got and got[0]) == max((t[0] for t in sums), default=None) and (got is None or got in sums)
 
 
+def test_common_words_against_brute_force():
+    rng = random.Random(21)
+    for _ in range(300):
+        a, b = rng.choices("abcd", k=rng.randint(0, 12)), rng.choices("abcd", k=rng.randint(0, 12))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        hit = leaks._common(a, b)
+        assert sum(hit) == table[-1][-1]
+        rest = iter(b)
+        assert all(any(x == y for y in rest) for x, h in zip(a, hit) if h)
+
+
+@pytest.mark.parametrize("every", [3, 4, 5, 0])
+def test_leaks_with_words_changed_throughout(every):
+    rng = random.Random(22)
+    vocab = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(500)]
+    items = [(i, " ".join(rng.sample(vocab, 60))) for i in range(60)]
+    index = leaks.LeakIndex(items)
+    for i in (0, 17, 59):
+        ws = [f"changed{k}" if every and k % every == 0 else w for k, w in enumerate(items[i][1].split())]
+        text = "Some text before. " + ", ".join(ws) + ". And some behind."
+        assert [x[0] for x in index.leaks(text)] == [i]
+        ((item, a, b, n, share),) = index.spans(text)
+        assert item == i and text[:a].startswith("Some text before.") and "And some" in text[b - 1 :] and share >= 0.5 and n >= 30
+
+
+def test_leaks_in_several_passes(spark):
+    rng = random.Random(23)
+    vocab = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(300)]
+    items = [(i, " ".join(rng.choices(vocab, k=30))) for i in range(40)]
+    docs = [(i, "Here it begins. " + " ".join(items[i][1].upper().split()[: 10 + i]) + " here it ends.") for i in range(40)] + [(100, None), (101, ""), (102, "nothing of it")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("cleaned", F.lit("clash"))
+    e = spark.createDataFrame(items, "item_id bigint, text string")
+    whole = {(r.doc_id, r.item_id) for r in leaks.leak_rows(d, e).collect()}
+    assert whole and whole == {(r.doc_id, r.item_id) for r in leaks.leak_rows(d, e, most=1500).collect()}
+    cleaned = {r.doc_id: r.cleaned for r in leaks.without_leaks(d, e).collect()}
+    for k, t in docs:
+        assert cleaned[k] == ("Here it begins. here it ends." if (k, k) in whole else t)
+    assert leaks.leak_spans(d.limit(0), e).count() == 0 and leaks.without_leaks(d, e.limit(0)).where("cleaned = text").count() == 42
+
+
 def test_leak_rows(spark):
     item = "The ferry mechanic swaps brass bolts for borrowed ones yet the pedozegard whistle still sounds late near the bahumiorsk quay tonight"
     docs = spark.createDataFrame([(1, item.upper(), 0), (1, item.upper(), 0), (2, None, 0), (3, "", 0), (4, "The ferry mechanic swaps brass bolts.", 0)], "doc_id bigint, text string, item_id int")

@@ -83,6 +83,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leak_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 
 
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the leaked stretches stand in the documents."""
+    return leaks.leak_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).distinct()
+
+
+def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without the leaked stretches."""
+    return leaks.without_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items")).select("doc_id", "cleaned")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pii, start_char) of every mention of personal information."""
     return pii.mentions(table(spark, sf_dir, "documents")).select("doc_id", "pii", F.col("a").alias("start_char")).distinct()
@@ -93,5 +103,5 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "redacted")
 
 
-QUERIES = {"p7_containers": p7_containers, "p2_found": p2_found, "p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p1_units": p1_units, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_found": p6_found}
+QUERIES = {"p7_containers": p7_containers, "p2_found": p2_found, "p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p1_units": p1_units, "p8_found": p8_found, "p8_spans": p8_spans, "p8_cleaned": p8_cleaned, "p9_found": p9_found, "p9_redacted": p9_redacted, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_found": p6_found}
 SQL: dict[str, str] = {}
