@@ -330,6 +330,16 @@ def test_pii(spark):
     assert pii.mentions(df.limit(0)).count() == 0
 
 
+def test_pii_in_any_script(spark):
+    people = ["Šárka Novaková", "Łukasz Wiśniewski", "Иван Петров", "Ελένη Παππά", "Ingrid Radumifeld", "Vera Trepulofeld", "James Bifohalen"]
+    rows = [(k, f"We thank {p} for help. They wrote it.") for k, p in enumerate(people)] + [(10 + k, f"We thank {p.split()[0]} Zubamebek for help. Later we asked {p.split()[0]} Otherfeld again.") for k, p in enumerate(people)]
+    rows += [(30 + k, f"We thank {g} Dokosokamp for help.") for k, g in enumerate(("Anna", "Carl", "Emma", "Hugo", "Laura", "Oscar", "Ruth", "Simon"))]
+    rows += [(90, "It took 75.15 ms. See Books 12 for tables."), (91, "x" * 300 + f". We thank {people[0]} for help."), (92, "Card 1234 5678 9012 3456 78 is none.")]
+    got = {(r.doc_id, r.pii, r.a) for r in pii.mentions(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(k, "name", 9) for k in (*range(7), *range(30, 38))} | {(10 + k, "name", 9) for k in range(7)} | {(10 + k, "name", rows[7 + k][1].rindex(p.split()[0])) for k, p in enumerate(people)} | {(91, "name", 311)}
+    assert pii.left_context("in 75.15 ms. See", 13) == ("^", "^") and pii.left_context("y" * 99 + " " + "z" * 99 + " A", 200) == ("z" * 99, "y" * 99)
+
+
 def page(doc, page_no, top, rows, header=None, number=None):
     out = []
     if header:
