@@ -84,3 +84,16 @@ def test_small_functions(spark):
     assert one(spark, C.name_vote, "Glenn Daehn, Alan Luo and Mary Smith") is True
     assert one(spark, C.strip_section_prefix, "Abstract — We show") == "We show"
     assert one(spark, C.keyword_separators, "a · b; c") == "a, b, c"
+
+
+def test_spoken_column_agrees(spark):
+    from vellumine.functions.spoken import spoken_column
+
+    texts = ["reached\n73% of 1,000 mg/mL", "12 mmまで20.3 MPa and 5%6%", "Ti-6Al-4V at 1 m2/s2, FEA of Al2O3", "10-15 mm, 3.5 MPa; AISI-304L", "x5 mm 5 mm", "", None, "1.0 h", "Poisson 2 °C H2O", "4\u00a0µm/°C"]
+    for t in texts:
+        assert one(spark, spoken_column, t) == spoken(t)
+
+
+def test_token_sentences_agree(spark):
+    for t in ["See Fig. 3 here. Next one.", "w" * 500 + " a b. c", "word " * 300, "Was it so ? Yes! (No.) e.g. this 3.5. And", "", None]:
+        assert one(spark, folds.token_sentences, t) == folds.token_runs(t)

@@ -6,10 +6,10 @@ import math
 import pytest
 
 import __spark_entry__ as entry
-from vellumine.plans import layout, library, narration, packed, sources, streams, text
+from vellumine.plans import filters, layout, library, narration, packed, sources, streams, text
 
-CORE = {n: q for m in (packed, text, layout, narration, library, streams, sources) for n, q in m.QUERIES.items()}
-SQL = {n: s for m in (packed, text, layout, narration, library, streams, sources) for n, s in m.SQL.items()}
+CORE = {n: q for m in (packed, text, layout, narration, library, streams, sources, filters) for n, q in m.QUERIES.items()}
+SQL = {n: s for m in (packed, text, layout, narration, library, streams, sources, filters) for n, s in m.SQL.items()}
 
 
 def norm(v):

@@ -68,12 +68,20 @@ def paragraphs(units: DataFrame) -> DataFrame:
 
 
 def continuations(rows: DataFrame) -> DataFrame:
-    """Body rows merged with the one before that does not end a sentence (W01): islands of a running flag."""
-    open_ = ~F.regexp_replace("text", r"""["'”’)\]]+$""", "").rlike(r"[.!?]$")
+    """Body rows merged with the one before that does not end a sentence (W01): islands of a running flag.
+
+    White space and then closing signs at the end say nothing of it. Parts stand on lines of their own; blank parts before the
+    last leave no line.
+    """
+    bare = F.regexp_replace(F.regexp_replace("text", r"(?U)\s+$", ""), "[\"”’)»]+$", "")
+    open_ = ~bare.rlike(r"[.!?]$")
     joins = F.coalesce((F.col("kind") == "body") & (F.lag("kind").over(in_order()) == "body") & F.lag(open_).over(in_order()), F.lit(False))
     g = rows.withColumn("grp", F.sum(F.when(joins, 0).otherwise(1)).over(in_order()))
     merged = g.groupBy("doc_id", "grp").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("ts"), F.min("kind").alias("kind"), F.count("*").alias("rows"))
-    return merged.select("doc_id", "grp", "kind", "rows", F.array_join(F.transform("ts", lambda x: x["text"]), " ").alias("text"))
+    before = F.filter(F.transform(F.slice("ts", F.lit(1), F.size("ts") - 1), lambda x: F.regexp_replace(x["text"], r"(?U)\s+$", "")), lambda x: x != "")
+    head = F.regexp_replace(F.array_join(before, "\n"), r"(?U)^\s+", "")
+    text = F.when(F.size("ts") == 1, F.get("ts", F.lit(0))["text"]).otherwise(F.concat(head, F.lit("\n"), F.element_at("ts", -1)["text"]))
+    return merged.select("doc_id", "grp", "kind", "rows", text.alias("text"))
 
 
 def preview(units: DataFrame, titles: DataFrame, enough: int = 320, most: int = 360) -> DataFrame:

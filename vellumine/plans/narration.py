@@ -31,6 +31,7 @@ def units(spark: SparkSession, d: str) -> DataFrame:
 
 
 _U = "u as (select doc_id, pos, any_value(kind) as kind, coalesce(any_value(text), '') as text, any_value(rects) as rects, any_value(para_end) as para_end, any_value(pause) as pause, any_value(t0) as t0, any_value(t1) as t1 from units group by doc_id, pos)"
+_BLANK = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
 _O = "(partition by doc_id order by pos)"
 
 
@@ -122,8 +123,9 @@ def paragraph_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {_U}, f as (select *, not regexp_matches(regexp_replace(text, '["''”’)\\]]+$', ''), '[.!?]$') as open from u), j as (select *, coalesce(kind = 'body' and lag(kind) over {_O} = 'body' and lag(open) over {_O}, false) as joins from f),
-    g as (select *, sum(case when joins then 0 else 1 end) over {_O} as grp from j) select doc_id, grp::bigint as grp, min(kind) as kind, count(*) as rows, string_agg(text, ' ' order by pos) as text from g group by doc_id, grp"""
+    f"""with {_U}, f as (select *, not regexp_matches(regexp_replace(regexp_replace(text, '{_BLANK}+$', ''), '["”’)»]+$', ''), '[.!?]$') as open from u), j as (select *, coalesce(kind = 'body' and lag(kind) over {_O} = 'body' and lag(open) over {_O}, false) as joins from f),
+    g as (select *, sum(case when joins then 0 else 1 end) over {_O} as grp from j), m as (select doc_id, grp::bigint as grp, min(kind) as kind, count(*) as rows, list(text order by pos) as ts from g group by doc_id, grp)
+    select doc_id, grp, kind, rows, case when len(ts) = 1 then ts[1] else regexp_replace(array_to_string(list_filter(list_transform(ts[:len(ts) - 1], lambda x: regexp_replace(x, '{_BLANK}+$', '')), lambda x: x <> ''), chr(10)), '^{_BLANK}+', '') || chr(10) || ts[len(ts)] end as text from m"""
 )
 def continuation_merge(spark: SparkSession, d: str) -> DataFrame:
     """Body units merged with unfinished ones before them."""

@@ -45,7 +45,7 @@ def manifest_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return u.groupBy("doc_id").agg(F.count("*").alias("units"), F.round(F.max("duration"), 3).alias("duration"), F.count_if(F.col("kind") == "heading").alias("headings"))
 
 
-@query("with docs as (select doc_id, trim(regexp_replace(text, '[\\s\\p{Z}\\x0b\\x1c-\\x1f\\x85]+', ' ', 'g'), ' ') as t, section from documents where text is not null and not regexp_matches(text, '[<>]')) select doc_id, 0 as pos, 'heading' as kind, coalesce(section, 'Text') as text from docs union all select doc_id, 1, 'body', t from docs")
+@query("with docs as (select doc_id, trim(regexp_replace(text, '[\\s\\p{Z}\\x0b\\x1c-\\x1f\\x85]+', ' ', 'g'), ' ') as t, section from documents where text is not null) select doc_id, 0 as pos, 'heading' as kind, coalesce(section, 'Text') as text from docs union all select doc_id, 1, 'body', t from docs")
 def tei_like_units(spark: SparkSession, d: str) -> DataFrame:
     """Units read from markup (S07): each document is written as TEI with a reference and a note in it."""
     docs = table(spark, d, "documents").where("text is not null")
@@ -64,13 +64,14 @@ def log_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return log.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query("select name, admin, created from users")
+@query("select name, admin, created, epoch, self_hosting, quota['operator_h'] as cap from users")
 def accounts_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Accounts written as a table version and as strict JSON, and read again."""
-    u = S.write_table(table(spark, d, "users").select("name", "admin", "created"), f"{shared_dir(spark)}/accounts")
+    u = S.write_table(table(spark, d, "users"), f"{shared_dir(spark)}/accounts")
     path = f"{shared_dir(spark)}/accounts-{uuid.uuid4().hex}"
     u.write.json(path)
-    return S.read_accounts(spark, path, "name string, admin boolean, created bigint")
+    back = S.read_accounts(spark, path, u.schema)
+    return back.select("name", "admin", "created", "epoch", "self_hosting", F.try_element_at("quota", F.lit("operator_h")).alias("cap"))
 
 
 @query("with docs as (select doc_id, text from documents where text is not null) select doc_id, length(text)::int as result from docs")
@@ -85,7 +86,7 @@ def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def title_selection(spark: SparkSession, d: str) -> DataFrame:
     """Titles from the lines of first pages by size, with titles known from meta."""
-    w = L.page_words(table(spark, d, "words").where("page = 0")).withColumn("col", F.lit(0))
+    w = L.page_words(table(spark, d, "words").where("page = 0")).withColumn("col", F.when(F.col("x0") >= L.PAGE_WIDTH / 2, 1).otherwise(0))
     lines = L.lines_of(w).groupBy("doc_id", "line").agg(F.round(F.max(F.col("y1") - F.col("y0")), 1).alias("size"), F.sort_array(F.collect_list(F.struct("x0", "pos", "text"))).alias("ws"))
     known = table(spark, d, "meta").groupBy("doc_id").agg(F.max("title").alias("known"))
     rows = lines.select("doc_id", F.col("line").alias("pos"), "size", F.array_join(F.transform("ws", lambda x: x["text"]), " ").alias("text")).join(known, "doc_id", "left")
