@@ -179,6 +179,27 @@ def test_contained_banner_of_rows_without_document(spark):
     assert [tuple(r) for r in text.contained(df).collect()] == [("results", 1)]
 
 
+def test_paths_of_deep_and_large_trees(spark):
+    deep = spark.range(1, 151).select(F.concat(F.lit("d"), "id").alias("id"), F.concat(F.lit("D"), "id").alias("name"), F.concat(F.lit("d"), F.col("id") - 1).alias("parent"))
+    got = {r.id: (r.path, r.depth) for r in B.paths(deep).collect()}
+    assert got == {f"d{i}": (" / ".join(f"D{k}" for k in range(1, i + 1)), i) for i in range(1, 151)}
+    top = spark.createDataFrame([("r", "R", None), ("n", "N", "r")], "id string, name string, parent string")
+    wide = top.unionByName(spark.range(400_000).select(F.concat(F.lit("c"), "id").alias("id"), F.col("id").cast("string").alias("name"), F.lit("n").alias("parent")))
+    rows = B.paths(wide)
+    assert rows.where("path = concat('R / N / ', substring(id, 2)) and depth = 3").count() == 400_000 and rows.count() == 400_002
+
+
+def test_paths_of_odd_trees(spark, duck):
+    rows = [("a", "A", None), ("b", "B", "a"), ("b", "B2", "gone"), ("c", "C", "b"), ("d", None, "c"), ("e", "E", "d"), ("f", "F", "gone"), ("g", "G", "f"), ("g", "G", "f"), (None, "N", "a"), ("h", "H", None), ("h", "H2", None), ("i", "I", "h")]
+    nodes = spark.createDataFrame(rows, "id string, name string, parent string")
+    t = "t(id, name, parent) as (values " + ", ".join("(" + ", ".join("null" if v is None else f"'{v}'" for v in r) + ")" for r in rows) + ")"
+    want = duck.execute(f"with recursive {t}, up as (select id, name as path, parent, 1 as depth from t union all select u.id, t.name || ' / ' || u.path, t.parent, u.depth + 1 from up u join t on u.parent = t.id), far as (select id, max(depth) as depth from up group by id) select up.id, up.path, up.depth from up join far using (id, depth)").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in B.paths(nodes).collect())
+    assert B.paths(nodes.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="below itself"):
+        B.paths(spark.createDataFrame([("a", "A", "b"), ("b", "B", "a"), ("c", "C", "b")], "id string, name string, parent string"))
+
+
 def test_hard_texts_are_not_left_out(spark, tmp_path):
     from vellumine.functions import spoken
     from vellumine.plans import text

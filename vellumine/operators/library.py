@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumine.session import cut, small
+
 # Fixed values.
 DONE, RESUME_FLOOR, RESUME_TOP, RECENT = 0.95, 30.0, 8, 5
 STATUSES = ["reserving", "pending", "generating", "ready", "error", "blocked"]
@@ -91,15 +93,39 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str = "30 minutes") -> D
     return s.select(key, F.col("session_window.start").alias("began"), "n")
 
 
-def paths(nodes: DataFrame, depth: int = 32) -> DataFrame:
-    """Slashed paths of a tree (id, name, parent) by a recursive query; a missing parent ends the chain."""
-    view = "__vellumine_tree"
-    nodes.select("id", "name", "parent").createOrReplaceTempView(view)
-    return nodes.sparkSession.sql(
-        f"""with recursive up(id, path, parent, n) as (select id, name, parent, 1 from {view} union all
-        select u.id, concat(t.name, ' / ', u.path), t.parent, u.n + 1 from up u join {view} t on u.parent = t.id where u.n < {depth}), far as (select id, max(n) as n from up group by id)
-        select up.id, up.path, up.n as depth from up join far on up.id = far.id and up.n = far.n"""
-    )
+def paths(nodes: DataFrame) -> DataFrame:
+    """Slashed paths of a tree (id, name, parent) of any size and depth; a missing parent ends the chain.
+
+    Only folders that have something below them are chained, and every round doubles how far they reach up; one join then
+    gives all nodes their paths. An id with several rows keeps its longest chains. A folder below itself is an error.
+    """
+    nodes = nodes.select("id", "name", "parent").where("id is not null")
+    inner = nodes.join(nodes.select(F.col("parent").alias("id")).distinct(), "id", "left_semi")
+    known = inner.select(F.col("id").alias("parent"), F.col("id").alias("up")).distinct()
+    chain = cut(inner.join(known, "parent", "left").select("id", F.col("name").alias("path"), "up", F.lit(1).alias("n")))
+    for _ in range(_doublings(chain.select("id", "up").distinct())):
+        above = chain.select(F.col("id").alias("up"), F.col("path").alias("p"), F.col("up").alias("next"), F.col("n").alias("m"))
+        longer = chain.where("up is not null").join(above, "up").select("id", F.concat("p", F.lit(" / "), "path").alias("path"), F.col("next").alias("up"), (F.col("n") + F.col("m")).alias("n"))
+        chain = cut(chain.where("up is null").unionByName(longer))
+    chain = small(chain.select(F.col("id").alias("parent"), F.col("path").alias("p"), F.col("n").alias("m")))
+    path = F.when(F.col("m").isNull(), F.col("name")).otherwise(F.concat("p", F.lit(" / "), "name"))
+    full = nodes.join(chain, "parent", "left").select("id", path.alias("path"), (F.coalesce("m", F.lit(0)) + 1).alias("depth"))
+    several = cut(full.groupBy("id").agg(F.min("depth").alias("least"), F.max("depth").alias("far")).where("least < far").select("id", "far"))
+    return full.join(small(several), "id", "left").where("far is null or depth = far").select("id", "path", "depth")
+
+
+def _doublings(hops: DataFrame) -> int:
+    """How often hops (id, up) must be joined with themselves until every chain has ended; an error if one never does."""
+    hops = cut(hops)
+    most, rounds = hops.select("id").distinct().count(), 0
+    while not hops.where("up is not null").isEmpty():
+        if 2**rounds > most:
+            one = hops.where("up is not null").first().id
+            raise ValueError(f"folder {one} stands below itself, or below a folder that does: it has no path")
+        above = hops.select(F.col("id").alias("up"), F.col("up").alias("next"))
+        longer = hops.where("up is not null").join(above, "up").select("id", F.col("next").alias("up"))
+        hops, rounds = cut(hops.where("up is null").unionByName(longer).distinct()), rounds + 1
+    return rounds
 
 
 def emitted(rows: DataFrame, step: float = 0.02) -> DataFrame:
