@@ -412,3 +412,16 @@ def test_paragraphs_run_over_pages(spark):
 def test_query_runs(name, spark, data):
     df = queries.QUERIES[name](spark, data)
     assert df.count() >= 0 and len(df.columns) == len(set(df.columns))
+
+
+def test_tables_of_names_are_never_broadcast(spark):
+    from vellumine.llm import names
+
+    rows = [("d1", 1, "Anna Kowalska"), ("d1", 2, "A. Kowalska"), ("d2", 1, "Anna Kowlska"), ("d3", 1, "Bo Lind")]
+    links = names.spelling_links(spark.createDataFrame(rows, "doc_id string, run int, name string"))
+    usual = names.usual_forms(spark.createDataFrame([("anna", 80), ("ana", 2)], "w string, n bigint"), 8.0, 2)
+    for df in (links, usual):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert ("A. Kowalska", "Anna Kowalska") in {(r.name_a, r.name_b) for r in links.collect()}
+    assert [tuple(r) for r in usual.collect()] == [("ana", "anna")]

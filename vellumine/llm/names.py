@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.session import cut
+from vellumine.session import cut, spread
 
 # Short forms of given names.
 SHORT_FORMS = """
@@ -261,7 +261,7 @@ def usual_forms(words: DataFrame, ratio: float, least: int) -> DataFrame:
     """(w, usual): for each of words (w, n) that is rare the most frequent word one edit apart, at least ratio times as frequent."""
     keyed = words.where(F.length("w") >= least).select("w", "n", F.explode(deletes(F.col("w"))).alias("k"))
     other = keyed.select(F.col("w").alias("v"), F.col("n").alias("m"), "k")
-    near = keyed.join(other, "k").where((F.col("w") != F.col("v")) & (F.col("m") >= ratio * F.col("n"))).where(_near(F.col("w"), F.col("v")))
+    near = keyed.join(spread(other), "k").where((F.col("w") != F.col("v")) & (F.col("m") >= ratio * F.col("n"))).where(_near(F.col("w"), F.col("v")))
     return near.groupBy("w").agg(F.max_by("v", F.struct("m", "v")).alias("usual"))
 
 
@@ -270,14 +270,15 @@ def spelling_links(values: DataFrame) -> DataFrame:
 
     values: (doc_id, run, name), one row per occurrence. Shared papers count as evidence where spellings are equally rare.
     """
-    seen = values.where("name is not null and trim(name) <> ''").select("doc_id", "run", "name")
+    # No table of names is broadcast: all of them grow, and so would what the driver holds.
+    seen = cut(values.where("name is not null and trim(name) <> ''").select("doc_id", "run", "name"))
     counts = cut(seen.groupBy("name").agg(F.count("*").alias("n")))
-    parsed = cut(counts.select("name").mapInArrow(_parse_batches, "name string, family string, given string, suffix string")).join(counts, "name")
+    parsed = cut(counts.select("name").mapInArrow(_parse_batches, "name string, family string, given string, suffix string")).join(spread(counts), "name")
     # Given names: a rare one is taken for the usual one an edit apart.
     first = F.split("given", " ")[0]
     given = parsed.where(F.length(first) >= 2).groupBy(first.alias("w")).agg(F.sum("n").alias("n"))
     usual = usual_forms(given, 8.0, 2)
-    parsed = parsed.withColumn("w", first).join(usual, "w", "left")
+    parsed = parsed.withColumn("w", first).join(spread(usual), "w", "left")
     rest = F.regexp_replace("given", r"^\S+", "")
     parsed = cut(parsed.withColumn("given", F.when(F.col("usual").isNull(), F.col("given")).otherwise(F.concat("usual", rest))).select("name", "n", "family", "given", "suffix", F.substring("given", 1, 1).alias("ini")))
     # Family names by first initial: nodes of the neighbourhood index.
@@ -287,13 +288,13 @@ def spelling_links(values: DataFrame) -> DataFrame:
     keyed = nodes.where("family <> ''").select("family", "ini", "n", "firsts", F.explode(deletes(F.col("family"))).alias("k"))
     a, b = keyed, keyed.select(F.col("family").alias("to"), "ini", F.col("n").alias("m"), F.col("firsts").alias("to_firsts"), "k")
     more = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("to") < F.col("family")))
-    near = a.join(b, ["k", "ini"]).where((F.col("family") != F.col("to")) & more).where(_near(F.col("family"), F.col("to"))).drop("k").distinct()
+    near = a.join(spread(b), ["k", "ini"]).where((F.col("family") != F.col("to")) & more).where(_near(F.col("family"), F.col("to"))).drop("k").distinct()
     # Evidence of shared papers: both spellings stand in one paper, in different runs; in one run they are two people.
-    place = seen.join(parsed.select("name", "family", "ini"), "name").select("doc_id", "run", "family", "ini").distinct()
+    place = seen.join(spread(parsed.select("name", "family", "ini")), "name").select("doc_id", "run", "family", "ini").distinct()
     here = near.select("family", "ini", "to").distinct()
-    both = here.join(place, ["family", "ini"]).join(place.select("doc_id", F.col("run").alias("run2"), F.col("family").alias("to"), "ini"), ["doc_id", "to", "ini"])
+    both = here.join(spread(place), ["family", "ini"]).join(spread(place.select("doc_id", F.col("run").alias("run2"), F.col("family").alias("to"), "ini")), ["doc_id", "to", "ini"])
     shared = both.groupBy("family", "ini", "to").agg(F.count_if(F.col("run") != F.col("run2")).alias("apart"), F.count_if(F.col("run") == F.col("run2")).alias("beside"))
-    near = near.join(shared, ["family", "ini", "to"], "left").fillna(0, ["apart", "beside"])
+    near = near.join(spread(shared), ["family", "ini", "to"], "left").fillna(0, ["apart", "beside"])
     same_first = F.arrays_overlap("firsts", "to_firsts")
     open_first = (F.size("firsts") == 0) | (F.size("to_firsts") == 0)
     # Short names are often an edit apart by chance: counts alone say nothing of them.
@@ -305,24 +306,24 @@ def spelling_links(values: DataFrame) -> DataFrame:
     # A root may be rare itself: roots are followed until none moves; counts rise along them, so there is no circle.
     while True:
         up = root.select(F.col("family").alias("root"), "ini", F.col("root").alias("higher"))
-        root = cut(root.join(up, ["root", "ini"], "left").select("family", "ini", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")))
+        root = cut(root.join(spread(up), ["root", "ini"], "left").select("family", "ini", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")))
         if root.where("moved").isEmpty():
             break
         root = root.drop("moved")
     root = root.drop("moved")
-    whole = cut(parsed.join(root, ["family", "ini"], "left").select("name", F.coalesce("root", "family").alias("family"), "ini", F.concat_ws("|", "given", "suffix").alias("sig"), "given", "suffix"))
+    whole = cut(parsed.join(spread(root), ["family", "ini"], "left").select("name", F.coalesce("root", "family").alias("family"), "ini", F.concat_ws("|", "given", "suffix").alias("sig"), "given", "suffix"))
     # Signatures of a family and initial that share a key of their first tokens are compared; spellings come through them.
     sigs = whole.groupBy("family", "ini", "sig", "given", "suffix").agg(F.count("*").alias("spellings")).drop("spellings")
     keys = sigs.select("given").distinct().mapInArrow(_key_batches, "given string, laid array<string>, asks array<string>")
-    sigs = cut(sigs.join(keys, "given"))
+    sigs = cut(sigs.join(spread(keys), "given"))
     x = sigs.select("family", "ini", F.col("sig").alias("sa"), F.col("given").alias("ga"), F.col("suffix").alias("ja"), F.explode("asks").alias("key"))
     y = sigs.select("family", "ini", F.col("sig").alias("sb"), F.col("given").alias("gb"), F.col("suffix").alias("jb"), F.explode("laid").alias("key"))
-    near = x.join(y, ["family", "ini", "key"]).where("sa <> sb").where((F.col("ja") == F.col("jb")) | (F.col("ja") == "") | (F.col("jb") == ""))
+    near = x.join(spread(y), ["family", "ini", "key"]).where("sa <> sb").where((F.col("ja") == F.col("jb")) | (F.col("ja") == "") | (F.col("jb") == ""))
     near = near.select("family", "ini", F.least("sa", "sb").alias("sa"), F.greatest("sa", "sb").alias("sb"), F.when(F.col("sa") < F.col("sb"), F.col("ga")).otherwise(F.col("gb")).alias("ga"), F.when(F.col("sa") < F.col("sb"), F.col("gb")).otherwise(F.col("ga")).alias("gb"))
     near = cut(near.distinct())
     good = near.select("ga", "gb").distinct().mapInArrow(_aligned_batches, "ga string, gb string")
-    pairs = near.join(good, ["ga", "gb"]).select("family", "ini", "sa", "sb").unionByName(sigs.select("family", "ini", F.col("sig").alias("sa"), F.col("sig").alias("sb")))
+    pairs = near.join(spread(good), ["ga", "gb"]).select("family", "ini", "sa", "sb").unionByName(sigs.select("family", "ini", F.col("sig").alias("sa"), F.col("sig").alias("sb")))
     na = whole.select("family", "ini", F.col("sig").alias("sa"), F.col("name").alias("n1"))
     nb = whole.select("family", "ini", F.col("sig").alias("sb"), F.col("name").alias("n2"))
-    full = pairs.join(na, ["family", "ini", "sa"]).join(nb, ["family", "ini", "sb"]).where("n1 <> n2 and (sa <> sb or n1 < n2)")
+    full = pairs.join(spread(na), ["family", "ini", "sa"]).join(spread(nb), ["family", "ini", "sb"]).where("n1 <> n2 and (sa <> sb or n1 < n2)")
     return full.select(F.least("n1", "n2").alias("name_a"), F.greatest("n1", "n2").alias("name_b")).distinct()
